@@ -18,26 +18,37 @@ def string_field(raw: Column, parsed: Column, key: str) -> Column:
     return F.when(_has(raw, key, '"'), parsed)
 
 
-def headers(parsed: Column) -> Column:
-    """Header objects of an ``array<string>``; junk items are skipped."""
-    objects = F.filter(parsed, lambda h: F.coalesce(F.startswith(h, F.lit("{")), F.lit(False)))
-    read = F.transform(objects, lambda h: F.from_json(h, "name string, value string"))
-    clean = F.transform(
-        read,
+def headers(raw: Column) -> Column:
+    """Header objects of a ``headers`` value; junk items are skipped.
+
+    A clean list parses in one go. A list that does not, such as one with a junk item, is read
+    item by item.
+    """
+    whole = F.from_json(raw, HEADERS)
+    items = F.filter(
+        F.from_json(raw, "array<string>"),
+        lambda h: F.coalesce(F.startswith(h, F.lit("{")), F.lit(False)),
+    )
+    single = F.transform(items, lambda h: F.from_json(h, "name string, value string"))
+    complete = F.forall(whole, lambda h: h["name"].isNotNull() & h["value"].isNotNull())
+    filled = F.transform(
+        single,
         lambda h: F.struct(
             F.coalesce(h["name"], F.lit("")).alias("name"),
             F.coalesce(h["value"], F.lit("")).alias("value"),
         ),
     )
-    return F.coalesce(clean, F.array().cast(HEADERS))
+    return F.coalesce(F.when(complete, whole), filled, F.array().cast(HEADERS))
 
 
 def read_entries(entries: DataFrame) -> DataFrame:
     """Add one column per HAR field that any operator reads; missing and mistyped fields are null.
 
-    ``entry_json`` is parsed once here; each sub-object is parsed once in a later projection.
+    ``entry_json`` is parsed once here; each sub-object is parsed once in a later projection. There
+    is no filter: one on a parsed field would be pushed down and make Spark parse twice. The
+    sources see to it that every entry is an object.
     """
-    top = entries.filter(F.startswith("entry_json", F.lit("{"))).withColumn(
+    top = entries.withColumn(
         "_e",
         F.from_json(
             "entry_json", "request string, response string, startedDateTime string, time double"
@@ -52,17 +63,24 @@ def read_entries(entries: DataFrame) -> DataFrame:
         ),
         F.col("_e.time").alias("time_ms"),
     ).drop("_e")
-    body = "headers array<string>, postData string, content string"
+    body = "headers string, postData string, content string"
     parsed = sides.withColumn(
         "_q", F.from_json("request", f"method string, url string, {body}")
     ).withColumn("_p", F.from_json("response", f"status string, {body}"))
-    flat = parsed.select(
+    listed = parsed.select(
+        "*",
+        *[
+            F.when(_has(F.col(side), "headers", "["), F.col(f"{ref}.headers")).alias(f"_{side}_h")
+            for side, ref in (("request", "_q"), ("response", "_p"))
+        ],
+    )
+    flat = listed.select(
         *sides.columns,
         F.coalesce("_q.method", F.lit("")).alias("method"),
         F.coalesce("_q.url", F.lit("")).alias("url"),
         F.col("_p.status").alias("status_text"),
-        headers(F.col("_q.headers")).alias("request_headers"),
-        headers(F.col("_p.headers")).alias("response_headers"),
+        headers(F.col("_request_h")).alias("request_headers"),
+        headers(F.col("_response_h")).alias("response_headers"),
         *[
             F.when(_has(F.col(side), key, "{"), F.col(f"{ref}.{key}")).alias(f"_{side}_{key}")
             for side, ref in (("request", "_q"), ("response", "_p"))
@@ -88,6 +106,11 @@ def read_entries(entries: DataFrame) -> DataFrame:
     )
 
 
+def has_both_sides(entry_json: Column) -> Column:
+    """True when request and response are objects; told from the text, without parsing."""
+    return _has(entry_json, "request", "{") & _has(entry_json, "response", "{")
+
+
 def is_base64(encoding: Column) -> Column:
     return F.coalesce(F.lower(encoding) == "base64", F.lit(False))
 

@@ -38,3 +38,13 @@ def join_by_slice(
         .join(per_slice(rows, spans), ["capture_id", "slice"], how)
         .drop("slice")
     )
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Use every core when the input has fewer partitions than the cluster has cores.
+
+    One small file is one task however many cores there are, and the text work per row is heavy.
+    Inputs with enough partitions are left alone.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

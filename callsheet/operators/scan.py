@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from callsheet import rules
 from callsheet.functions.entry import body_text, read_entries
 from callsheet.functions.text import header_name, hits, literal_map, mask
-from callsheet.schemas import FINDING
+from callsheet.schemas import HIT
 
 # Reading order as one number: entry, step, pattern, position. A fixed-width key lets the roll-up
 # run as a hash aggregation with map-side combine.
@@ -24,79 +24,100 @@ def place_of() -> Column:
     return (base + (detector + F.col("pos")).cast("decimal(14,0)")).cast(PLACE)
 
 
-def _finding(step, sub, pos, category, severity, where, value) -> Column:
-    as_int = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("int")
+CREDENTIALS = len(rules.TEXT_PATTERNS)
+WHERE = ("request header", "response header", "url query", "request body", "response body")
+
+
+def _hit(step: int, sub: Column, pos: Column, key: Column, value: Column) -> Column:
     return F.struct(
-        as_int(step).alias("step"),
-        as_int(sub).alias("sub"),
-        as_int(pos).alias("pos"),
-        category.alias("category"),
-        severity.alias("severity"),
-        F.lit(where).alias("where"),
+        F.lit(step).alias("step"),
+        sub.cast("int").alias("sub"),
+        pos.cast("int").alias("pos"),
+        key.alias("key"),
         value.alias("value"),
     )
 
 
 def _none() -> Column:
-    return F.array().cast(f"array<{FINDING}>")
+    return F.array().cast(f"array<{HIT}>")
 
 
-def header_findings(headers: Column, step: int, where: str) -> Column:
+def header_hits(headers: Column, step: int) -> Column:
     """Sensitive headers of one side; an empty value still counts."""
-    severity = literal_map(rules.SENSITIVE_HEADERS)
-
-    def one(header: Column, i: Column) -> Column:
-        name = header_name(header["name"])
-        category = F.concat(F.lit("header:"), name)
-        return _finding(step, 0, i, category, severity[name], where, header["value"])
-
-    found = F.filter(F.transform(headers, one), lambda f: f["severity"].isNotNull())
-    return F.coalesce(found, _none())
+    named = F.transform(
+        headers, lambda h, i: _hit(step, F.lit(0), i, header_name(h["name"]), h["value"])
+    )
+    return F.filter(named, lambda h: h["key"].isin(*rules.SENSITIVE_HEADERS))
 
 
-def query_findings(url: Column, step: int = 2) -> Column:
+def query_hits(url: Column, step: int = 2) -> Column:
     """Sensitive query parameters: after the first ``?``, undecoded, fragment not cut off."""
-    severity = literal_map(rules.SENSITIVE_QUERY_KEYS)
-    query = F.substr(url, F.locate("?", url) + 1)
-    pairs = F.split(query, "&", -1)
+    pairs = F.split(F.substr(url, F.locate("?", url) + 1), "&", -1)
 
     def one(pair: Column, i: Column) -> Column:
         cut = F.position(F.lit("="), pair)
         key = F.lower(F.substr(pair, F.lit(1), F.greatest(cut - 1, F.lit(0))))
         value = F.when(cut > 0, F.substr(pair, cut + 1)).otherwise("")
-        return _finding(step, 0, i, F.concat(F.lit("query:"), key), severity[key], "url query", value)
+        return _hit(step, F.lit(0), i, key, value)
 
     found = F.filter(
-        F.transform(pairs, one), lambda f: f["severity"].isNotNull() & (f["value"] != "")
+        F.transform(pairs, one),
+        lambda h: h["key"].isin(*rules.SENSITIVE_QUERY_KEYS) & (h["value"] != ""),
     )
     return F.when(F.contains(url, F.lit("?")), found).otherwise(_none())
 
 
-def pattern_findings(text: Column, step: int, where: str) -> list[Column]:
-    """One array per body detector, in reporting order."""
-
-    def one(k: int, p: rules.TextPattern) -> Column:
-        category, severity = F.lit(p.category), F.lit(p.severity)
-        return F.transform(
-            hits(text, p.regex, p.hint),
-            lambda m, i: _finding(step, k, i, category, severity, where, m),
+def pattern_hits(text: Column, step: int) -> Column:
+    """Matches of every body detector, in reporting order; ``key`` is null."""
+    per_pattern = F.array(*[hits(text, p.regex, p.hint) for p in rules.TEXT_PATTERNS])
+    null = F.lit(None).cast("string")
+    return F.flatten(
+        F.transform(
+            per_pattern, lambda found, k: F.transform(found, lambda m, i: _hit(step, k, i, null, m))
         )
+    )
 
-    return [one(k, p) for k, p in enumerate(rules.TEXT_PATTERNS)]
 
+def credential_hits(text: Column, step: int) -> Column:
+    """Credential fields ``"<prefix>password": "value"``; ``key`` is the lower-cased field name."""
 
-def credential_findings(text: Column, step: int, where: str) -> Column:
-    """Credential fields ``"<prefix>password": "value"``; only the bare key names are high."""
-    keys = hits(text, rules.CREDENTIAL_FIELD, '"', 1)
-    values = hits(text, rules.CREDENTIAL_FIELD, '"', 2)
+    def one(m: Column, i: Column) -> Column:
+        key = F.lower(F.regexp_extract(m, rules.CREDENTIAL_FIELD, 1))
+        value = F.regexp_extract(m, rules.CREDENTIAL_FIELD, 2)
+        return _hit(step, F.lit(CREDENTIALS), i, key, value)
 
-    def one(pair: Column, i: Column) -> Column:
-        field = F.lower(pair["k"])
-        severity = F.when(field.isin(*rules.HIGH_CREDENTIAL_FIELDS), "high").otherwise("medium")
-        category = F.concat(F.lit("field:"), field)
-        return _finding(step, len(rules.TEXT_PATTERNS), i, category, severity, where, pair["v"])
+    return F.transform(hits(text, rules.CREDENTIAL_FIELD, '"'), one)
 
-    return F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), one)
+
+def _classified(found: DataFrame) -> DataFrame:
+    """Category, severity and place name of each hit."""
+    step, sub, key = F.col("step"), F.col("sub"), F.col("key")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), sub)
+    kind = (
+        F.when(step <= 1, F.concat(F.lit("header:"), key))
+        .when(step == 2, F.concat(F.lit("query:"), key))
+        .when(sub == CREDENTIALS, F.concat(F.lit("field:"), key))
+        .otherwise(pick([p.category for p in rules.TEXT_PATTERNS]))
+    )
+    credential = F.when(key.isin(*rules.HIGH_CREDENTIAL_FIELDS), "high").otherwise("medium")
+    severity = (
+        F.when(step <= 1, literal_map(rules.SENSITIVE_HEADERS)[key])
+        .when(step == 2, literal_map(rules.SENSITIVE_QUERY_KEYS)[key])
+        .when(sub == CREDENTIALS, credential)
+        .otherwise(pick([p.severity for p in rules.TEXT_PATTERNS]))
+    )
+    place = F.get(F.array(*map(F.lit, WHERE)), step)
+    return found.select(
+        "capture_id",
+        "entry_index",
+        "step",
+        "sub",
+        "pos",
+        kind.alias("category"),
+        severity.alias("severity"),
+        place.alias("where"),
+        "value",
+    )
 
 
 def raw_findings(entries: DataFrame) -> DataFrame:
@@ -113,19 +134,21 @@ def raw_findings(entries: DataFrame) -> DataFrame:
         body_text("request").alias("request_body"),
         body_text("response").alias("response_body"),
     )
-    arrays = [
-        header_findings(F.col("request_headers"), 0, "request header"),
-        header_findings(F.col("response_headers"), 1, "response header"),
-        query_findings(F.col("url")),
-    ]
-    for step, side in ((3, "request"), (4, "response")):
-        text, where = F.col(f"{side}_body"), f"{side} body"
-        arrays += pattern_findings(text, step, where)
-        arrays.append(credential_findings(text, step, where))
-    return (
-        read.select("capture_id", "entry_index", F.explode(F.concat(*arrays)).alias("f"))
-        .select("capture_id", "entry_index", "f.*")
-        .filter(F.col("value") != rules.REDACTED_MARKER)
+    found = F.concat(
+        header_hits(F.col("request_headers"), 0),
+        header_hits(F.col("response_headers"), 1),
+        query_hits(F.col("url")),
+        *[
+            hits_of(F.col(f"{side}_body"), step)
+            for step, side in ((3, "request"), (4, "response"))
+            for hits_of in (pattern_hits, credential_hits)
+        ],
+    )
+    rows = read.select("capture_id", "entry_index", F.explode(found).alias("f"))
+    return _classified(
+        rows.select("capture_id", "entry_index", "f.*").filter(
+            F.col("value") != rules.REDACTED_MARKER
+        )
     )
 
 

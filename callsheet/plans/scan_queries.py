@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsheet import rules
+from callsheet.functions.slices import spread
 from callsheet.functions.text import hits, mask
 from callsheet.operators import scan
 from callsheet.plans.query import Query
@@ -149,8 +150,8 @@ def _raw(*prefixes: str):
 
 
 def _texts(spark, sf_dir) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return documents.select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(
         pages.select(F.lit("p").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
     )

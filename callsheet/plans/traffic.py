@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callsheet.functions.slices import spread
+
 # Columns of one HTTP call; null means "not in the capture".
 SHOP_SQL = """
 SELECT
@@ -106,7 +108,10 @@ RESPONSE_HEADERS = {
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     for table in tables:
-        sql = sql.replace(f"FROM {table}\n", f"FROM parquet.`{sf_dir}/{table}.parquet`\n")
+        rows = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        view = f"callsheet_{table}"
+        rows.createOrReplaceTempView(view)
+        sql = sql.replace(f"FROM {table}\n", f"FROM {view}\n")
     return spark.sql(sql)
 
 
@@ -182,7 +187,7 @@ def captures_of(entries: DataFrame) -> DataFrame:
 
 def har_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One small HAR text per order: a call, a junk item, a call without response; some malformed."""
-    order = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    order = spread(spark.read.parquet(f"{sf_dir}/orders.parquet"))
     key = F.col("o_orderkey").cast("string")
     return order.select(
         key.alias("capture_id"),

@@ -84,8 +84,8 @@ class TextPattern:
 
 
 # --- Fixed values: body detectors, in reporting order ---------------------------------------
-# Java dialect. Possessive quantifiers and the run-start guard on the e-mail pattern keep each
-# scan linear in the text without changing what matches.
+# Java dialect. Possessive quantifiers, the run-start guard on the e-mail pattern and the look-back
+# at the end of a credential key keep each scan linear in the text without changing what matches.
 TEXT_PATTERNS = (
     TextPattern(
         "private_key",
@@ -116,8 +116,8 @@ TEXT_PATTERNS = (
     ),
 )
 CREDENTIAL_FIELD = (
-    r'(?iuU)\\?"([A-Za-z0-9_]*'
-    r"(?:password|passwd|pwd|client_secret|secret|api_?key|access_?token|token))"
+    r'(?iuU)\\?"([A-Za-z0-9_]*+'
+    r"(?<=password|passwd|pwd|secret|api_?key|token))"
     r'\\?"[\s\x1c-\x1f]*:[\s\x1c-\x1f]*\\?"([^"\\]{4,})'
 )
 HIGH_CREDENTIAL_FIELDS = ("password", "passwd", "pwd", "secret", "client_secret")
