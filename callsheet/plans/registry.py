@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from callsheet.plans import scan_queries
+from callsheet.plans import clean_queries, redact_queries, scan_queries
 from callsheet.plans.query import Query
 
 
 def registry() -> dict[str, Query]:
-    return {**scan_queries.QUERIES}
+    return {**scan_queries.QUERIES, **clean_queries.QUERIES, **redact_queries.QUERIES}
