@@ -16,7 +16,11 @@ ERROR_CHARS = 120
 def seconds(ms: Column) -> Column:
     """``ms / 1000`` with one decimal, rounded half-even on the exact binary value."""
     value = (ms / F.lit(1000.0)).cast("double")
-    scale = F.when(value < 1024, F.lit(2.0**53)).otherwise(F.lit(2.0**40))
+    scale = (
+        F.when(value < 1, F.lit(2.0**62))
+        .when(value < 1024, F.lit(2.0**52))
+        .otherwise(F.lit(2.0**32))
+    )
     unit = scale.cast("bigint").cast("decimal(19,0)")
     tenths = (value * scale).cast("bigint").cast("decimal(19,0)") * F.lit(10).cast("decimal(2,0)")
     whole = F.floor(tenths / unit)
