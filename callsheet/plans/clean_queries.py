@@ -116,7 +116,7 @@ def _calls(spark, sf_dir, rules: CleanRules = CleanRules()) -> DataFrame:
 def _headers(spark, sf_dir) -> DataFrame:
     calls = _calls(spark, sf_dir)
     sides = [
-        calls.select("capture_id", "entry_index", F.lit(s).alias("side"), F.explode(f"{s}_headers").alias("name", "value"))
+        calls.select("capture_id", "entry_index", F.lit(s).alias("side"), F.inline(F.map_entries(f"{s}_headers")).alias("name", "value"))
         for s in ("request", "response")
     ]
     return sides[0].unionByName(sides[1])
