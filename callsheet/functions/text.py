@@ -31,21 +31,27 @@ def hits(text: Column, regex: str, hint: str | None = None, group: int = 0) -> C
     return F.when(F.contains(text, F.lit(hint)), found).otherwise(strings())
 
 
+def interleave(pieces: Column, between: Column) -> Column:
+    """``pieces`` joined with one item of ``between`` after each; a missing item is empty."""
+    return F.array_join(
+        F.transform(pieces, lambda piece, i: F.concat_ws("", piece, F.get(between, i))), ""
+    )
+
+
 def weave(text: Column, regex: str, replace: Callable[[Column], Column]) -> Column:
     """Replace each match of ``regex`` by ``replace(match)`` without leaving the JVM.
 
     ``text`` is split at the matches and the pieces are joined again around the new values, so
-    ``text`` must be cheap to reference twice (a column or a lambda variable).
+    ``text`` must be cheap to reference twice (a column or a lambda variable). Text without a match
+    costs one search.
     """
-    pieces = F.split(text, regex, -1)
     found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
 
-    def join(p: Column, h: Column) -> Column:
-        parts = F.transform(p, lambda piece, i: F.concat(piece, F.coalesce(F.get(h, i), F.lit(""))))
-        return F.array_join(parts, "")
+    def swap(h: Column) -> Column:
+        woven = interleave(F.split(text, regex, -1), F.transform(h, replace))
+        return F.when(F.size(h) == 0, text).otherwise(woven)
 
-    woven = let(F.transform(found, replace), lambda h: let(pieces, lambda p: join(p, h)))
-    return F.when(F.rlike(text, F.lit(regex)), woven).otherwise(text)
+    return let(found, swap)
 
 
 def occurrences(text: Column, needle: Column) -> Column:

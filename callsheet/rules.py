@@ -166,9 +166,13 @@ CITY_KEYS = ("city",)
 CITY_LABEL = "Berlin"
 SERVICE_LABEL = "Lexus Service"
 VIN_ALPHABET = "ABCDEFGHJKLMNPRSTUVWXYZ0123456789"
-UUID_REGEX = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-# The cheap test stands first in each pattern: most positions fail it at once.
-VIN_BODY = r"(?=[0-9]*+[A-HJ-NPR-Z])[A-HJ-NPR-Z0-9]{17}"
+# Classes are written out in full: Java looks such a class up in one table. The cheap test stands
+# first, so that most positions fail it at once.
+HEX = "[0123456789abcdefABCDEF]"
+UUID_REGEX = f"{HEX}{{8}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{12}}"
+VIN_LETTER = "[ABCDEFGHJKLMNPRSTUVWXYZ]"
+VIN_CHAR = "[ABCDEFGHJKLMNPRSTUVWXYZ0123456789]"
+VIN_BODY = rf"(?=[0123456789]*+{VIN_LETTER}){VIN_CHAR}{{17}}"
 VIN_REGEX = rf"{VIN_BODY}(?<![\p{{L}}\p{{N}}_].{{17}})(?![\p{{L}}\p{{N}}_])"
 IMEI_REGEX = r"\p{Nd}{15}"
 OCTET = r"(?:25[0-5]|2[0-4]\p{Nd}|1\p{Nd}\p{Nd}|[1-9]?\p{Nd})"
