@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ENTRIES_PER_SLICE = 4096
+ENTRIES_PER_SLICE = 1024
 
 
 def slice_of(index: Column | str = "entry_index") -> Column:
