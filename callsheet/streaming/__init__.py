@@ -1,0 +1,4 @@
+"""No streaming operators: nothing in the survey needs one.
+
+``envelopes`` and ``raw_findings`` are narrow and work on a streaming entry table as they are.
+"""
