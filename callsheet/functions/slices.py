@@ -40,6 +40,19 @@ def join_by_slice(
     )
 
 
+SALTS = 16
+
+
+def salted(rows: DataFrame, key: Column) -> DataFrame:
+    """Add ``salt``, telling apart rows of one hot capture by ``key``."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+
+
+def every_salt(rows: DataFrame) -> DataFrame:
+    """Repeat short per-capture rows for every salt, to meet ``salted`` rows."""
+    return rows.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Use every core when the input has fewer partitions than the cluster has cores.
 
