@@ -56,8 +56,13 @@ def read_entries(entries: DataFrame) -> DataFrame:
     )
     sides = top.select(
         "*",
-        F.when(_has(F.col("entry_json"), "request", "{"), F.col("_e.request")).alias("request"),
-        F.when(_has(F.col("entry_json"), "response", "{"), F.col("_e.response")).alias("response"),
+        *[
+            F.when(
+                _has(F.col("entry_json"), side, "{") & F.startswith(f"_e.{side}", F.lit("{")),
+                F.col(f"_e.{side}"),
+            ).alias(side)
+            for side in ("request", "response")
+        ],
         string_field(F.col("entry_json"), F.col("_e.startedDateTime"), "startedDateTime").alias(
             "started_at"
         ),
@@ -107,7 +112,7 @@ def read_entries(entries: DataFrame) -> DataFrame:
 
 
 def has_both_sides(entry_json: Column) -> Column:
-    """True when request and response are objects; told from the text, without parsing."""
+    """False when request or response is surely no object; told from the text, without parsing."""
     return _has(entry_json, "request", "{") & _has(entry_json, "response", "{")
 
 

@@ -89,6 +89,7 @@ def test_oversized_and_bodyless(entries):
 def test_junk_shapes(entries):
     odd = [
         {"request": "bad", "response": {}},
+        {"request": "bad", "response": {}, "x": {"request": {"url": "deep"}}},
         {"request": {"url": "a", "headers": "no"}, "response": {"status": None, "headers": [5, {"name": "Server", "value": 7}, {}]}},
         {"request": {"url": "b"}, "response": {"status": "200"}, "time": "12", "startedDateTime": 5},
         {"request": {"url": "c"}, "response": {"status": "soon"}},
@@ -101,7 +102,7 @@ def test_junk_shapes(entries):
     assert found["a"].status == 0 and found["a"].response_headers == {"server": "7"}
     assert found["b"].status == 200 and found["b"].time_ms is None and found["b"].started_at is None
     assert found["d"].status == 200 and found["d"].response_headers == {"server": "1"}
-    assert [r.entry_index for r in rejects.collect()] == [3]
+    assert [r.entry_index for r in rejects.collect()] == [4]
 
 
 def test_url_exclusion_and_custom_rules(entries):
