@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callsheet.llm import langid, quality
+from callsheet.llm import bpe, langid, quality, tokencount, toxicity
 from callsheet.llm.common import table
 from callsheet.plans.query import Query
 
@@ -17,7 +17,22 @@ def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def _token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(table(spark, sf_dir, "documents"))
+
+
+def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.tokenized(table(spark, sf_dir, "documents")))
+
+
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality": Query(_quality),
+    "op3_token_counts": Query(_token_counts),
+    "op6_bpe": Query(_bpe),
     "op8_language": Query(_language),
+    "op10_toxicity": Query(_toxicity),
 }
