@@ -11,6 +11,7 @@ takes one step per merge; an arc is looked up along the origins and then stored
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -24,7 +25,8 @@ from tokenizers import Tokenizer as Library
 
 VOCABULARY = "word_bpe_49k.json"
 NEVER = 1 << 40
-CACHED_WORDS = 150_000
+SHIFT = 20
+CACHED_WORDS = 400_000
 CACHED_ARCS = 2_000_000
 
 
@@ -46,7 +48,7 @@ class Automaton:
         self.left = [-1] * size
         self.origin = [-1] * size
         self.made = [-1] * size
-        self.lost: dict[tuple[int, int], int] = {}
+        self.lost: dict[int, int] = {}
         for rank, (first, second) in enumerate(merges):
             self.gadget(vocabulary[first], vocabulary[second], vocabulary[first + second], rank)
         self.inner: dict[str, int] = {}
@@ -58,11 +60,11 @@ class Automaton:
                 for stop in range(1, len(label)):
                     self.inner.setdefault(label[:stop], -1)
                 self.inner[label] = token
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
 
     def gadget(self, first: int, second: int, merged: int, rank: int) -> None:
         """Split the state after ``first``; the merged token leads where ``second`` leads by now."""
-        self.lost[first, second] = rank
+        self.lost[first << SHIFT | second] = rank
         self.left[merged], self.origin[merged], self.made[merged] = first, second, rank
 
     def has_arc(self, state: int, token: int) -> bool:
@@ -72,60 +74,63 @@ class Automaton:
         left parts are followed down to a basic symbol. By the end of each of those gadgets the state
         must not have lost the arc, be it itself or the state it was copied from until then.
         """
-        until = NEVER
+        lost, made, origin, until = self.lost.get, self.made, self.origin, NEVER
         while token >= 0:
             now, limit = state, until
             while now >= 0:
-                if self.lost.get((now, token), NEVER) < limit:
+                if lost(now << SHIFT | token, NEVER) < limit:
                     return False
-                limit = min(limit, self.made[now]) if self.made[now] >= 0 else limit
-                now = self.origin[now]
-            until = self.made[token] + 1
+                if 0 <= made[now] < limit:
+                    limit = made[now]
+                now = origin[now]
+            until = made[token] + 1
             token = self.left[token]
         return True
 
     def encode(self, word: str) -> list[int]:
-        """Tokens of one pre-split word of byte symbols, reading left to right.
+        """Tokens of one pre-split word of byte symbols, reading left to right, longest arcs first.
 
-        Every beginning of a word has one accepted reading, so each place has one state at most.
+        Every beginning of a word has one accepted reading, so each place has one state at most and
+        a place from which the end was not reached need not be entered again.
         """
-        end = len(word)
-        state, back = [-1] * (end + 1), [0] * (end + 1)
-        inner, final, arcs = self.inner, self.final, self.arcs
-        for at in range(end):
-            now = state[at]
-            if at and now < 0:
-                continue
-            token = final.get(word[at:], -1)
-            if token >= 0:
-                ok = True
-                if at:
-                    ok = arcs.get((now, token))
-                    if ok is None:
-                        ok = arcs[now, token] = self.has_arc(now, token)
-                if ok:
-                    state[end], back[end] = token, at
-                    break
+        end, inner, final, arcs = len(word), self.inner.get, self.final.get, self.arcs
+        out: list[int] = []
+        open_arcs: list[list[tuple[int, int]]] = []
+        at, dead = 0, set()
+        while at < end:
+            tokens = []
             for stop in range(at + 1, end):
-                token = inner.get(word[at:stop])
+                token = inner(word[at:stop])
                 if token is None:
                     break
-                if token < 0:
+                if token >= 0:
+                    tokens.append((stop, token))
+            token = final(word[at:] if at else word)
+            if token is not None:
+                tokens.append((end, token))
+            while True:
+                if not tokens:  # back to the place before, and on with its next shorter arc
+                    dead.add(at)
+                    tokens = open_arcs.pop()
+                    out.pop()
+                    continue
+                stop, token = tokens.pop()
+                if stop in dead:
                     continue
-                if at:
-                    ok = arcs.get((now, token))
+                if out:
+                    key = out[-1] << SHIFT | token
+                    ok = arcs.get(key)
                     if ok is None:
-                        ok = arcs[now, token] = self.has_arc(now, token)
+                        ok = arcs[key] = self.has_arc(out[-1], token)
                     if not ok:
                         continue
-                state[stop], back[stop] = token, at
+                break
+            out.append(token)
+            open_arcs.append(tokens)
+            at = stop
         if len(arcs) > CACHED_ARCS:
             arcs.clear()
-        out = []
-        while end:
-            out.append(state[end])
-            end = back[end]
-        return out[::-1]
+        return out
 
 
 def char_class(chars: list[str]) -> str:
@@ -160,6 +165,17 @@ def word_pattern(pattern: str, recent: list[str], library: Library) -> regex.Pat
     return regex.compile("(?V1)" + pattern)
 
 
+LATIN = 0x250
+
+
+def latin_pattern(pattern: str) -> re.Pattern:
+    """The word pattern with its classes written out, which is faster, for text below ``LATIN``."""
+    found = {name: [chr(c) for c in range(LATIN) if regex.match(name, chr(c))] for name in (r"\p{L}", r"\p{N}", r"\s")}
+    for name, chars in found.items():
+        pattern = pattern.replace(name, char_class(chars)[1:-1])
+    return re.compile(pattern)
+
+
 class Tokenizer:
     """A vocabulary file's splitting rules around its automaton; ``kept`` holds recent words."""
 
@@ -173,6 +189,8 @@ class Tokenizer:
         self.labels = self.automaton.labels + [""] * (max([0, *self.special.values()]) + 1 - len(self.automaton.labels))
         for content, token in self.special.items():
             self.labels[token] = content
+        self.latin_words = latin_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.beyond_latin = re.compile(f"[^\\x00-\\u{LATIN - 1:04x}]")
         self.parts = regex.compile("(" + "|".join(regex.escape(c) for c in self.special) + ")")
         recent = recent_letters()
         self.library = Library.from_file(public_tokenizers.path(name))
@@ -205,8 +223,9 @@ class Tokenizer:
             if token is not None:
                 out.append(np.int32(token).tobytes())
                 continue
-            for word in self.words.findall(self.normalised(piece)):
-                out.append(self.kept.get(word) or self.encoded_word(word))
+            piece = self.normalised(piece)
+            words = self.words if self.beyond_latin.search(piece) else self.latin_words
+            out += [self.kept.get(word) or self.encoded_word(word) for word in words.findall(piece)]
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def decode(self, ids: list[int]) -> str:
