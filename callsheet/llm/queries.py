@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsheet.llm import bpe, decontam, langid, quality, tokencount, topk, toxicity, urlfilter
+from callsheet.llm import bpe, decontam, jaccard, langid, quality, suffix, tokencount, topk, toxicity, urlfilter
 from callsheet.llm.common import table
 from callsheet.plans.query import Query
 
@@ -111,6 +111,14 @@ from captures c left join found f using (capture_id)
 """
 
 
+def _suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(table(spark, sf_dir, "documents"))
+
+
+def _jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_top_k": Query(_top_k, TOP_K_SQL),
     "op2_quality": Query(_quality),
@@ -118,6 +126,8 @@ QUERIES: dict[str, Query] = {
     "op4_decontaminate": Query(_decontaminate),
     "op5_url_filter": Query(_url_filter, URL_SQL),
     "op6_bpe": Query(_bpe),
+    "op7_suffix_dedup": Query(_suffix),
     "op8_language": Query(_language),
+    "op9_jaccard": Query(_jaccard),
     "op10_toxicity": Query(_toxicity),
 }
