@@ -275,10 +275,11 @@ def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return encoded.withColumn("decoded", decode(F.col("ids"), vocabulary))
 
 
-def digest(rows: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of ``tokenized`` rows."""
+def digest(rows: DataFrame, *also: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of ``tokenized`` rows, and ``also``."""
     return rows.select(
         "doc_id",
+        *also,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsheet.functions.lineage import cut_lineage
-from callsheet.llm.common import BASE, BASE_INVERSE, BYTE_VALUES, byte_views, mixed, powers, row_key
+from callsheet.llm.common import BASE, BASE_INVERSE, BYTE_VALUES, byte_views, mixed, powers, row_key, unused
 
 LENGTH = 400
 GRAM = 32
@@ -268,3 +268,31 @@ def digest(docs: DataFrame) -> DataFrame:
     return removed(docs.select("doc_id", "text")).select(
         "doc_id", "n_bytes", lengths.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated passages cut out of ``text``; all other columns and rows stay.
+
+    A character that lost a part of its bytes goes. Null texts stay null.
+    """
+
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, marks: pa.Array) -> pa.Array:
+        out = []
+        for t, m in zip(text, marks, strict=True):
+            gone = covered(m.as_py())
+            if not gone:
+                out.append(t.as_py())
+                continue
+            data = t.as_py().encode()
+            edges = [0, *(x for span in gone for x in span), len(data)]
+            kept = b"".join(data[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True))
+            out.append(kept.decode("utf-8", errors="ignore"))
+        return pa.array(out, pa.string())
+
+    a, b = row_key(F.col("doc_id"), F.col("text"))
+    found = repeats(docs.select("doc_id", a, b, F.coalesce("text", F.lit("")).alias("text")))
+    name_a, name_b, name_m = (unused(docs, n) for n in ("row_key_a", "row_key_b", "row_marks"))
+    found = found.select(F.col("key_a").alias(name_a), F.col("key_b").alias(name_b), F.col("marks").alias(name_m))
+    joined = docs.withColumn(name_a, a).withColumn(name_b, b).join(found, [name_a, name_b], "left")
+    return joined.withColumn("text", cut("text", name_m)).select(*docs.columns)
