@@ -12,6 +12,7 @@ only one batch of them is held.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ ANCHOR = REACH - 1  # column at which strings are lined up
 COLUMNS = ANCHOR + LENGTH
 #: Bytes taken at once; longer texts are cut with an overlap, each position stays in one piece.
 SEGMENT = 1 << 19
-#: Strings of one anchor up to this many are ordered together; of more, each position is counted.
+#: Strings of one anchor up to this many are ordered together; more are cut into narrower pieces.
 TOGETHER = 1_000
 BATCH = 16_384
 
@@ -152,46 +153,77 @@ def ordered_together(contested: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "anchor bigint, whole bigint, at int, n int")
 
 
-def counted_apart(contested: DataFrame) -> DataFrame:
-    """The same for anchors of very many strings: each position's bytes are counted by two hashes."""
+def narrowed(strings: DataFrame, width: int) -> DataFrame:
+    """Strings cut into pieces of up to ``width`` positions, whose ``group`` is what they all cover.
+
+    Positions at a distance of ``b * width`` up to the next multiple from the anchor all cover the
+    same bytes around it. Only pieces that agree on those can share a position's bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "whole", "at", "hash_a", "hash_b"]
+        names = ["anchor", "whole", "at", "offset", "run", "group", "piece", "bytes"]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         for batch in batches:
-            anchors, wholes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, row in enumerate(batch.column(2).to_pylist()):
-                data = np.frombuffer(row, np.uint8)
-                n = len(data) - LENGTH + 1
-                values = BYTE_VALUES[data]
-                hashes = []
-                for part in (values, mixed(values)):
-                    sums = np.zeros(len(data) + 1, np.uint64)
-                    np.cumsum(part * powers(BASE, len(data)), out=sums[1:])
-                    hashes.append(mixed((sums[LENGTH:] - sums[:n]) * powers(BASE_INVERSE, n)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchors[i])), pa.array(np.full(n, wholes[i])), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, hashes)], names)
-
-    shape = "anchor bigint, whole bigint, at int, hash_a bigint, hash_b bigint"
-    rows = contested.select("anchor", "whole", "bytes").mapInArrow(run, shape)
-    often = rows.groupBy("hash_a", "hash_b").agg(F.count("*").alias("n")).where("n > 1").select("hash_a", "hash_b")
-    return rows.join(often, ["hash_a", "hash_b"], "left_semi").select("anchor", "whole", "at", F.lit(1).alias("n"))
+            rows: list[tuple] = []
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for anchor, whole, offset, length, data in zip(*columns, strict=True):
+                at = 0
+                while at < length:
+                    band = (offset - at) // width
+                    n = min(length - at, offset - at - band * width + 1)
+                    core = data[offset - band * width : offset - (band + 1) * width + 1 + LENGTH]
+                    own = data[at : at + n + LENGTH - 1]
+                    group = hashlib.blake2b(core, digest_size=16, key=b"%d %d %d" % (anchor, band, width)).digest()
+                    piece = hashlib.blake2b(own, digest_size=16, key=b"%d" % (offset - at)).digest()
+                    rows.append((anchor, whole, at, offset - at, n, group, piece, own))
+                    at += n
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names)
+
+    shape = "anchor bigint, whole bigint, at int, offset int, run int, group binary, piece binary, bytes binary"
+    return strings.select("anchor", "whole", "offset", "run", "bytes").mapInArrow(run, shape)
+
+
+def marked(strings: DataFrame, widths: tuple[int, ...] = (32, 4, 1)) -> DataFrame:
+    """``anchor, whole, at, n`` of repeated runs among strings ``anchor, whole, offset, run, bytes, strings``.
+
+    Strings of an anchor of up to ``TOGETHER`` are ordered. Those of a larger one are cut into
+    narrower pieces; equal pieces are counted, and the different ones of a group go the same way
+    again. Pieces of one position are equal or have nothing in common, which ends it.
+    """
+    marks = ordered_together(strings.where(F.col("strings") <= TOGETHER))
+    large = strings.where(F.col("strings") > TOGETHER)
+    if not widths or large.isEmpty():
+        return marks
+    pieces = cut_lineage(narrowed(large, widths[0]))
+    kinds = pieces.groupBy("group", "piece").agg(F.count("*").alias("copies"), F.first("offset").alias("offset"), F.first("run").alias("run"), F.first("bytes").alias("bytes"))
+    numbers = kinds.groupBy("group").agg(F.count("*").alias("strings")).where("strings > 1")
+    open_pieces = cut_lineage(kinds.join(numbers, "group").select(
+        F.xxhash64("group").alias("anchor"), F.xxhash64(F.lit("p"), "group", "piece").alias("whole"), "offset", "run", "bytes", "strings",
+    ))
+    inner = marked(open_pieces, widths[1:]).select(F.col("anchor").alias("g"), F.col("whole").alias("p"), F.col("at").alias("inner_at"), F.col("n").alias("inner_n"))
+    named = pieces.select("anchor", "whole", "at", "run", "group", "piece", F.xxhash64("group").alias("g"), F.xxhash64(F.lit("p"), "group", "piece").alias("p"))
+    copies = kinds.where("copies > 1").select("group", "piece")
+    equal = named.join(copies, ["group", "piece"], "left_semi").select("anchor", "whole", "at", F.col("run").alias("n"))
+    partly = named.join(inner, ["g", "p"]).select("anchor", "whole", (F.col("at") + F.col("inner_at")).alias("at"), F.col("inner_n").alias("n"))
+    return marks.unionAll(equal).unionAll(partly)
 
 
 def cut_out(docs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``anchor, whole, offset, run, many, bytes`` of wanted strings, read from their texts."""
+    """``anchor, whole, offset, run, strings, bytes`` of wanted strings, read from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "whole", "offset", "run", "many", "bytes"]
+        names = ["anchor", "whole", "offset", "run", "strings", "bytes"]
         for batch in batches:
             for i in range(batch.num_rows):
                 data = batch.column(1)[i].as_py().encode()
                 wanted = batch.column(2)[i].as_py()
                 cut = [data[w["start"] : w["start"] + w["run"] + LENGTH - 1] for w in wanted]
-                columns = [pa.array([w[c] for w in wanted], kind) for c, kind in zip(names[:-1], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)]
+                columns = [pa.array([w[c] for w in wanted], kind) for c, kind in zip(names[:-1], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, pa.binary())], names)
 
-    listed = pieces.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("anchor", "whole", "start", "offset", "run", "many")).alias("wanted"))
+    listed = pieces.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("anchor", "whole", "start", "offset", "run", "strings")).alias("wanted"))
     rows = docs.join(listed, ["key_a", "key_b"]).select("doc_id", "text", "wanted")
-    return rows.mapInArrow(run, "anchor bigint, whole bigint, offset int, run int, many boolean, bytes binary")
+    return rows.mapInArrow(run, "anchor bigint, whole bigint, offset int, run int, strings bigint, bytes binary")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -205,10 +237,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     kinds = found.groupBy("anchor", "whole").agg(F.count("*").alias("copies"), F.min(place).alias("first"))
     kinds = cut_lineage(kinds)
     contested = kinds.groupBy("anchor").agg(F.count("*").alias("strings")).where("strings > 1")
-    wanted = kinds.join(contested, "anchor").select("anchor", "whole", "first.*", (F.col("strings") > TOGETHER).alias("many"))
+    wanted = kinds.join(contested, "anchor").select("anchor", "whole", "first.*", "strings")
     texts = cut_lineage(cut_out(docs, wanted))
-    marks = ordered_together(texts.where("not many")).unionAll(counted_apart(texts.where("many")))
-    marks = marks.groupBy("anchor", "whole").agg(F.collect_list(F.struct("at", "n")).alias("some"))
+    marks = marked(texts).groupBy("anchor", "whole").agg(F.collect_list(F.struct("at", "n")).alias("some"))
     several = kinds.where("copies > 1").select("anchor", "whole", F.lit(True).alias("all"))
     told = several.join(marks, ["anchor", "whole"], "full").select("anchor", "whole", F.coalesce("all", F.lit(False)).alias("all"), "some")
     whole = F.array(F.struct(F.col("start"), F.col("run").cast("bigint").alias("n")))
