@@ -26,8 +26,8 @@ from tokenizers import Tokenizer as Library
 VOCABULARY = "word_bpe_49k.json"
 NEVER = 1 << 40
 SHIFT = 20
-CACHED_WORDS = 400_000
-CACHED_ARCS = 2_000_000
+CACHED_WORDS = 300_000
+CACHED_ARCS = 400_000
 
 
 def byte_symbols() -> list[str]:

@@ -50,7 +50,7 @@ class Texts(NamedTuple):
         return len(self.bounds) - 1
 
 
-def byte_views(column: pa.Array, limit: int = 1 << 21) -> Iterator[Texts]:
+def byte_views(column: pa.Array, limit: int = 1 << 19) -> Iterator[Texts]:
     """UTF-8 bytes of a string column without copies, ``limit`` bytes at a time; null is empty.
 
     A row longer than ``limit`` comes alone and whole.

@@ -32,7 +32,7 @@ COLUMNS = ANCHOR + LENGTH
 SEGMENT = 1 << 19
 #: Strings of one anchor up to this many are ordered together; more are cut into narrower pieces.
 TOGETHER = 1_000
-BATCH = 16_384
+BATCH = 8_192
 
 
 def anchored(data: np.ndarray) -> tuple[np.ndarray, ...]:
