@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callsheet.functions.jsontext import LONG
+
 HEADERS = "array<struct<name:string,value:string>>"
 
 
@@ -24,12 +26,12 @@ def headers(raw: Column) -> Column:
     A clean list parses in one go. A list that does not, such as one with a junk item, is read
     item by item.
     """
-    whole = F.from_json(raw, HEADERS)
+    whole = F.from_json(raw, HEADERS, LONG)
     items = F.filter(
-        F.from_json(raw, "array<string>"),
+        F.from_json(raw, "array<string>", LONG),
         lambda h: F.coalesce(F.startswith(h, F.lit("{")), F.lit(False)),
     )
-    single = F.transform(items, lambda h: F.from_json(h, "name string, value string"))
+    single = F.transform(items, lambda h: F.from_json(h, "name string, value string", LONG))
     complete = F.forall(whole, lambda h: h["name"].isNotNull() & h["value"].isNotNull())
     filled = F.transform(
         single,
@@ -51,7 +53,7 @@ def read_entries(entries: DataFrame) -> DataFrame:
     top = entries.withColumn(
         "_e",
         F.from_json(
-            "entry_json", "request string, response string, startedDateTime string, time double"
+            "entry_json", "request string, response string, startedDateTime string, time double", LONG
         ),
     )
     sides = top.select(
@@ -70,8 +72,8 @@ def read_entries(entries: DataFrame) -> DataFrame:
     ).drop("_e")
     body = "headers string, postData string, content string"
     parsed = sides.withColumn(
-        "_q", F.from_json("request", f"method string, url string, {body}")
-    ).withColumn("_p", F.from_json("response", f"status string, {body}"))
+        "_q", F.from_json("request", f"method string, url string, {body}", LONG)
+    ).withColumn("_p", F.from_json("response", f"status string, {body}", LONG))
     listed = parsed.select(
         "*",
         *[
@@ -96,7 +98,7 @@ def read_entries(entries: DataFrame) -> DataFrame:
     fields = "mimeType string, text string, size bigint, encoding string"
     out = flat
     for name in names:
-        out = out.withColumn(f"{name}_p", F.from_json(name, fields))
+        out = out.withColumn(f"{name}_p", F.from_json(name, fields, LONG))
     return out.select(
         *[c for c in flat.columns if c not in names],
         *[

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from callsheet.functions.text import let
 
-STRICT = {"allowSingleQuotes": "false"}
+#: Every parse raises the parser's own string limit, so that no value is lost for its size.
+LONG = {"maxStringLen": str(2**31 - 1)}
+STRICT = LONG | {"allowSingleQuotes": "false"}
 # One JSON string token. Possessive, so long strings need no regex stack.
 STRING_TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsheet.functions.jsontext import is_json, normal_form
+from callsheet.functions.jsontext import LONG, is_json, normal_form
 
 
 def read_har(spark: SparkSession, *paths: str) -> DataFrame:
@@ -37,7 +37,7 @@ def explode_entries(captures: DataFrame) -> DataFrame:
 
     Items that are no objects are dropped but still use up an index.
     """
-    log = F.from_json("har_text", "log struct<entries:array<string>>")
+    log = F.from_json("har_text", "log struct<entries:array<string>>", LONG)
     return captures.select(
         "capture_id", F.posexplode(log["log"]["entries"]).alias("pos", "entry_json")
     ).select(
