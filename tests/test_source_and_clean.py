@@ -49,17 +49,17 @@ def test_strict_json(spark, text, ok):
 def test_envelopes_and_bodies(entries):
     calls = cleaned(entries({"c": shop()}))
     assert list(calls) == [e["request"]["url"] for e in shop()]
-    users = calls["https://api.example.com/v1/users"]
+    users = calls["https://api.bikes.test/v2/rides"]
     assert json.loads(users.response_body)["total"] == 1 and users.response_body_kind == "object"
     assert users.response_headers == {"content-security-policy": "default-src 'self'", "cache-control": "no-cache"}
-    assert (users.status, users.time_ms, users.response_content_type) == (200, 42.5, "application/json")
-    assert calls["https://cdn.example.com/logo.png"].response_body == "<stripped: image/png>"
-    assert calls["https://cdn.example.com/font.woff2"].response_body is None
-    assert calls["https://app.example.com/main.js"].response_body == "<stripped: application/javascript, 16 B>"
-    login = calls["https://api.example.com/v1/login"]
+    assert (users.status, users.time_ms, users.response_content_type) == (200, 17.25, "application/json")
+    assert calls["https://img.bikes.test/frame.png"].response_body == "<stripped: image/png>"
+    assert calls["https://img.bikes.test/type.woff2"].response_body is None
+    assert calls["https://www.bikes.test/app.js"].response_body == "<stripped: application/javascript, 18 B>"
+    login = calls["https://api.bikes.test/v2/session"]
     assert login.request_headers == {"authorization": "<redacted>"}
     assert login.response_headers["set-cookie"] == "<redacted>"
-    assert json.loads(login.request_body)["email"] == "ada@example.com"
+    assert json.loads(login.request_body)["email"] == "rider@bikes.test"
 
 
 def test_oversized_and_bodyless(entries):
@@ -107,10 +107,10 @@ def test_junk_shapes(entries):
 
 def test_url_exclusion_and_custom_rules(entries):
     df = entries({"c": shop()})
-    assert not [u for u in cleaned(df, CleanRules(exclude_url_substrings=("cdn.example.com",))) if "cdn" in u]
-    assert len(cleaned(df, CleanRules(exclude_url_substrings=("CDN",)))) == 6
+    assert not [u for u in cleaned(df, CleanRules(exclude_url_substrings=("img.bikes.test",))) if "img" in u]
+    assert len(cleaned(df, CleanRules(exclude_url_substrings=("IMG",)))) == 6
     plain = cleaned(df, CleanRules(json_markers=("plain",), max_body_chars=1))
-    assert plain["https://api.example.com/health"].response_body == "<stripped: text/plain, 2 B (oversized)>"
+    assert plain["https://api.bikes.test/ping"].response_body == "<stripped: text/plain, 2 B (oversized)>"
 
 
 def test_artifact_is_valid_stable_json(entries, spark):
@@ -126,7 +126,7 @@ def test_artifact_is_valid_stable_json(entries, spark):
     artifact = json.loads(texts[0]["c"])
     assert list(artifact) == ["source_har", "total_entries", "calls", "json_body_count"]
     assert (artifact["total_entries"], len(artifact["calls"]), artifact["json_body_count"]) == (6, 6, 2)
-    assert artifact["calls"][0]["response_body"] == {"users": [{"id": 1, "name": "Ada"}], "total": 1}
+    assert artifact["calls"][0]["response_body"] == {"rides": [{"no": 7, "km": 12}], "total": 1}
     assert artifact["calls"][2]["response_body"] is None and list(artifact["calls"][0]) == clean.CALL
     assert json.loads(texts[0]["none"])["calls"] == []
     small = {r.capture_id: (r.chars, r.text) for r in clean.assemble(parts, 100).collect()}
