@@ -10,16 +10,45 @@ from callsheet.functions.jsontext import LONG
 HEADERS = "array<struct<name:string,value:string>>"
 
 
-def _has(raw: Column, key: str, opener: str) -> Column:
-    """True when ``key`` holds a value starting with ``opener``; exact on normalised JSON."""
+KINDS = {'"': "STRING", "{": "OBJECT", "[": "ARRAY"}
+
+
+def _holds(raw: Column, key: str, opener: str) -> Column:
+    """Whether ``key`` occurs, at any depth of normalised JSON, with a value starting with ``opener``."""
     return F.contains(raw, F.lit(f'"{key}":{opener}'))
 
 
+def _has(raw: Column, key: str, opener: str) -> Column:
+    """True when ``key`` of the object itself holds a value starting with ``opener``.
+
+    The text tells it where ``key`` occurs with one kind of value only. Where a nested object has a
+    namesake of another kind, the object's own value is looked up.
+    """
+    some = _holds(raw, key, opener)
+    rest = F.replace(raw, F.lit(f'"{key}":{opener}'), F.lit(""))
+    value = F.try_variant_get(F.try_parse_json(raw), f"$.{key}", "variant")
+    own = F.startswith(F.schema_of_variant(value), F.lit(KINDS[opener]))
+    return F.when(some & _holds(rest, key, ""), F.coalesce(own, some)).otherwise(some)
+
+
 def string_field(raw: Column, parsed: Column, key: str) -> Column:
     """``parsed`` only when the field really is a JSON string."""
     return F.when(_has(raw, key, '"'), parsed)
 
 
+def objects(items: Column, typed: Column) -> Column:
+    """``items`` of a JSON list as text, with null for all but objects; ``typed`` is the same list.
+
+    Objects are told from strings that look like them. A list too big to be typed is judged by its
+    text.
+    """
+    by_type = F.zip_with(
+        items, typed, lambda i, t: F.when(F.startswith(F.schema_of_variant(t), F.lit("OBJECT")), i)
+    )
+    by_text = F.transform(items, lambda i: F.when(F.startswith(i, F.lit("{")), i))
+    return F.coalesce(by_type, by_text)
+
+
 def headers(raw: Column) -> Column:
     """Header objects of a ``headers`` value; junk items are skipped.
 
@@ -27,10 +56,8 @@ def headers(raw: Column) -> Column:
     item by item.
     """
     whole = F.from_json(raw, HEADERS, LONG)
-    items = F.filter(
-        F.from_json(raw, "array<string>", LONG),
-        lambda h: F.coalesce(F.startswith(h, F.lit("{")), F.lit(False)),
-    )
+    items = objects(F.from_json(raw, "array<string>", LONG), F.from_json(raw, "array<variant>", LONG))
+    items = F.filter(items, lambda h: h.isNotNull())
     single = F.transform(items, lambda h: F.from_json(h, "name string, value string", LONG))
     complete = F.forall(whole, lambda h: h["name"].isNotNull() & h["value"].isNotNull())
     filled = F.transform(
@@ -115,7 +142,7 @@ def read_entries(entries: DataFrame) -> DataFrame:
 
 def has_both_sides(entry_json: Column) -> Column:
     """False when request or response is surely no object; told from the text, without parsing."""
-    return _has(entry_json, "request", "{") & _has(entry_json, "response", "{")
+    return _holds(entry_json, "request", "{") & _holds(entry_json, "response", "{")
 
 
 def is_base64(encoding: Column) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from datetime import datetime
+from numbers import Integral, Real
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callsheet import rules
 from callsheet.functions.text import model_slug, slug
@@ -98,11 +100,24 @@ def plan_runs(
 
 
 # --- Calls ------------------------------------------------------------------------------------
+def _checked(name: str, kind: T.DataType, value: Any) -> Any:
+    """``value`` if it fits the field's type, which an answer of another type must not pass."""
+    fits = {T.StringType: str, T.IntegerType: Integral, T.DoubleType: Real}[type(kind)]
+    if value is None:
+        return None
+    if not isinstance(value, fits) or isinstance(value, bool):
+        raise TypeError(f"{name} must be {kind.simpleString()}, not {type(value).__name__}")
+    if fits is Integral and not -(2**31) <= value < 2**31:
+        raise ValueError(f"{name} is out of range")
+    return {str: str, Integral: int, Real: float}[fits](value)
+
+
 def call_one(complete: Complete, name: str, model: str, prompt: str) -> tuple[str | None, dict]:
     """One stateless call; a failure becomes an error text and an empty response."""
     blank = dict.fromkeys(RAW_RESPONSE.fieldNames()) | {"provider": name, "model": model}
     try:
-        return None, blank | {"latency_ms": 0.0} | dict(complete(prompt))
+        answer = blank | {"latency_ms": 0.0} | dict(complete(prompt))
+        return None, {f.name: _checked(f.name, f.dataType, answer[f.name]) for f in RAW_RESPONSE}
     except Exception as exc:  # one failing call must not sink the batch
         return f"{type(exc).__name__}: {exc}", blank | {"text": "", "latency_ms": 0.0}
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callsheet.functions.entry import objects
 from callsheet.functions.jsontext import LONG, is_json, normal_form
 
+LOOKS_LIKE_OBJECT = r'[\[,]\s*"\{'
+
 
 def read_har(spark: SparkSession, *paths: str) -> DataFrame:
     """One row per file: ``capture_id`` is the path, ``source_har`` the file name."""
@@ -37,21 +40,36 @@ def explode_entries(captures: DataFrame) -> DataFrame:
 
     Items that are no objects are dropped but still use up an index.
     """
-    log = F.from_json("har_text", "log struct<entries:array<string>>", LONG)
-    return captures.select(
-        "capture_id", F.posexplode(log["log"]["entries"]).alias("pos", "entry_json")
-    ).select(
+    items, typed = (
+        F.from_json("har_text", f"log struct<entries:array<{kind}>>", LONG)["log"]["entries"]
+        for kind in ("string", "variant")
+    )
+    # only a string item that starts like an object needs the types
+    entries = F.when(F.rlike("har_text", F.lit(LOOKS_LIKE_OBJECT)), objects(items, typed)).otherwise(items)
+    return captures.select("capture_id", F.posexplode(entries).alias("pos", "entry_json")).select(
         "capture_id", F.col("pos").cast("bigint").alias("entry_index"), "entry_json"
     ).filter(F.startswith("entry_json", F.lit("{")))
 
 
+def _normalised(rows: DataFrame) -> DataFrame:
+    """``rows`` with the normal form of ``entry_json``, null where it is no JSON object."""
+    is_object = F.startswith(F.ltrim("entry_json", F.lit(" \t\r\n")), F.lit("{"))
+    return rows.select(
+        "capture_id",
+        F.col("entry_index").cast("bigint").alias("entry_index"),
+        F.when(is_object, normal_form(F.col("entry_json"))).alias("entry_json"),
+    )
+
+
 def normalise_entries(rows: DataFrame) -> DataFrame:
     """Entry rows from any table (``capture_id, entry_index, entry_json``) in normal form.
 
     The way in for captures too big for one file: they arrive as rows and never as one string.
     """
-    return rows.select(
-        "capture_id",
-        F.col("entry_index").cast("bigint").alias("entry_index"),
-        normal_form(F.col("entry_json")).alias("entry_json"),
-    ).filter(F.startswith("entry_json", F.lit("{")))
+    return _normalised(rows).filter(F.col("entry_json").isNotNull())
+
+
+def normalise_rejects(rows: DataFrame) -> DataFrame:
+    """``capture_id, entry_index, reason`` of the rows that ``normalise_entries`` leaves out."""
+    left_out = _normalised(rows).filter(F.col("entry_json").isNull())
+    return left_out.select("capture_id", "entry_index", F.lit("expected a JSON object").alias("reason"))

@@ -114,6 +114,14 @@ def test_errors_are_rows_and_retry_fixes_them(captures, artifacts, templates, tm
     assert spark.read.json(str(tmp_path / "cells")).count() == 4
 
 
+@pytest.mark.parametrize("answer", [{"input_tokens": "many"}, {"text": 5}, {"latency_ms": True}, {"output_tokens": 2**40}, ["text"], None])
+def test_wrongly_typed_answers_are_errors(answer):
+    error, response = runs.call_one(lambda prompt: answer, "p", "m", "hello")
+    assert error and response["text"] == "" and response["input_tokens"] is None
+    error, response = runs.call_one(lambda prompt: {"text": "a", "latency_ms": 3, "more": 1}, "p", "m", "hello")
+    assert error is None and response["latency_ms"] == 3.0 and "more" not in response
+
+
 def test_unassembled_prompt_becomes_an_error_row(captures, templates, spark):
     big = spark.createDataFrame([("a", None, 10**9), ("b", "y", 1)], "capture_id string, text string, chars long")
     _, rendered, responses = run(captures, big, templates, modes=("minimal",))

@@ -10,7 +10,7 @@ from callsheet.functions.jsontext import is_json
 from callsheet.functions.text import human_size
 from callsheet.operators import clean
 from callsheet.rules import CleanRules
-from callsheet.sources.har import explode_entries, read_har, split_valid
+from callsheet.sources.har import explode_entries, normalise_entries, normalise_rejects, read_har, split_valid
 from tests.samples import call, shop
 
 
@@ -105,6 +105,27 @@ def test_junk_shapes(entries):
     assert [r.entry_index for r in rejects.collect()] == [4]
 
 
+def test_values_are_told_by_their_json_type(spark, entries, har_file, tmp_path):
+    """Strings that look like objects are none, and nested namesakes do not lend their type."""
+    inner = json.dumps({"request": {"url": "inner"}, "response": {}})
+    header = json.dumps({"name": "Server", "value": "fake"})
+    odd = {
+        "startedDateTime": 5,
+        "request": {"url": "u", "headers": [header, {"name": "Server", "value": "real"}], "x": {"headers": "h", "startedDateTime": "no"}},
+        "response": {"status": 200, "content": {"mimeType": 7, "text": {"a": 1}, "x": {"mimeType": "text/plain", "text": "no"}}},
+    }
+    har_file("t.har", {"log": {"entries": [odd, inner, 5, {"request": inner, "response": {"request": {}}}]}})
+    rows = explode_entries(read_har(spark, str(tmp_path))).orderBy("entry_index")
+    assert [r.entry_index for r in rows.collect()] == [0, 3]
+    first, second = read_entries(rows).orderBy("entry_index").collect()
+    assert first.started_at is None and first.response_content.mime is None and first.response_content.text is None
+    assert [(h.name, h.value) for h in first.request_headers] == [("Server", "real")]
+    assert second.url == ""
+    loose = spark.createDataFrame([("c", 0, json.dumps(inner)), ("c", 1, " " + inner), ("c", 2, None), ("c", 3, "{oops")], "capture_id string, entry_index long, entry_json string")
+    assert [r.entry_index for r in normalise_entries(loose).collect()] == [1]
+    assert {r.entry_index for r in normalise_rejects(loose).collect()} == {0, 2, 3}
+
+
 def test_url_exclusion_and_custom_rules(entries):
     df = entries({"c": shop()})
     assert not [u for u in cleaned(df, CleanRules(exclude_url_substrings=("img.bikes.test",))) if "img" in u]
