@@ -168,6 +168,17 @@ def word_pattern(pattern: str, recent: list[str], library: Library) -> regex.Pat
 LATIN = 0x250
 
 
+def in_latin_1(text: str) -> bool:
+    """Whether all characters lie below 0x100, told without looking at them one by one."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def latin_pattern(pattern: str) -> re.Pattern:
     """The word pattern with its classes written out, which is faster, for text below ``LATIN``."""
     found = {name: [chr(c) for c in range(LATIN) if regex.match(name, chr(c))] for name in (r"\p{L}", r"\p{N}", r"\s")}
@@ -201,7 +212,7 @@ class Tokenizer:
 
     def normalised(self, text: str) -> str:
         """Composed and lower-cased character by character; white space only separates words."""
-        if text.isascii():
+        if in_latin_1(text):  # composed as it is, and without any recent letter
             return text.lower()
         if self.recent.search(text):  # characters whose case Python does not know yet
             return self.library.normalizer.normalize_str(text)
@@ -217,6 +228,7 @@ class Tokenizer:
 
     def encode(self, text: str) -> np.ndarray:
         out: list[bytes] = []
+        kept = self.kept.get
         pieces = self.parts.split(text) if "<|" in text else [text]
         for piece in pieces:
             token = self.special.get(piece)
@@ -224,13 +236,13 @@ class Tokenizer:
                 out.append(np.int32(token).tobytes())
                 continue
             piece = self.normalised(piece)
-            words = self.words if self.beyond_latin.search(piece) else self.latin_words
-            out += [self.kept.get(word) or self.encoded_word(word) for word in words.findall(piece)]
+            latin = in_latin_1(piece) or not self.beyond_latin.search(piece)
+            words = self.latin_words if latin else self.words
+            out += [kept(word) or self.encoded_word(word) for word in words.findall(piece)]
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def decode(self, ids: list[int]) -> str:
-        labels = self.labels
-        return " ".join([labels[i] for i in ids])
+        return " ".join(map(self.labels.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
