@@ -13,8 +13,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -26,7 +28,9 @@ from tokenizers import Tokenizer as Library
 VOCABULARY = "word_bpe_49k.json"
 NEVER = 1 << 40
 SHIFT = 20
-CACHED_WORDS = 300_000
+END = "\uffff"
+CACHED_WORDS = 200_000
+CACHED_LENGTH = 64
 CACHED_ARCS = 400_000
 
 
@@ -38,7 +42,10 @@ def byte_symbols() -> list[str]:
 
 
 class Automaton:
-    """States are numbered by the token just read; ``origin[t]`` is the state its copy came from."""
+    """States are numbered by the token just read; ``origin[t]`` is the state its copy came from.
+
+    A word is read with ``END`` behind it, which belongs to the tokens that end words.
+    """
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], ending: str):
         size = max(vocabulary.values()) + 1
@@ -51,17 +58,29 @@ class Automaton:
         self.lost: dict[int, int] = {}
         for rank, (first, second) in enumerate(merges):
             self.gadget(vocabulary[first], vocabulary[second], vocabulary[first + second], rank)
+        tokens = {
+            label[: -len(ending)] + END if label.endswith(ending) and len(label) > len(ending) else label: token
+            for label, token in vocabulary.items()
+        }
+        self.longest = max(map(len, tokens), default=0)
+        self.length, self.shorter = array("i", [0] * size), array("i", [-1] * size)
         self.inner: dict[str, int] = {}
-        self.final: dict[str, int] = {}
-        for label, token in vocabulary.items():
-            if label.endswith(ending) and len(label) > len(ending):
-                self.final[label[: -len(ending)]] = token
-            else:
-                for stop in range(1, len(label)):
-                    self.inner.setdefault(label[:stop], -1)
-                self.inner[label] = token
+        self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for label, token in tokens.items():
+            self.trie.add_word(label, token)
+            self.length[token] = len(label)
+            self.beginnings(label, tokens)
         self.arcs: dict[int, bool] = {}
 
+    def beginnings(self, label: str, tokens: dict[str, int]) -> None:
+        """Note the longest token that begins each beginning of ``label``, and the next shorter one."""
+        longest = -1
+        for stop in range(1, len(label) + 1):
+            token = tokens.get(label[:stop], -1)
+            if token >= 0:
+                self.shorter[token], longest = longest, token
+            self.inner[label[:stop]] = longest
+
     def gadget(self, first: int, second: int, merged: int, rank: int) -> None:
         """Split the state after ``first``; the merged token leads where ``second`` leads by now."""
         self.lost[first << SHIFT | second] = rank
@@ -93,43 +112,32 @@ class Automaton:
         Every beginning of a word has one accepted reading, so each place has one state at most and
         a place from which the end was not reached need not be entered again.
         """
-        end, inner, final, arcs = len(word), self.inner.get, self.final.get, self.arcs
-        out: list[int] = []
-        open_arcs: list[list[tuple[int, int]]] = []
-        at, dead = 0, set()
+        word += END
+        end, at, out, dead = len(word), 0, [], set()
+        inner, longest, beginning = self.inner, self.longest, self.trie.longest_prefix
+        arcs, length, shorter = self.arcs, self.length, self.shorter
         while at < end:
-            tokens = []
-            for stop in range(at + 1, end):
-                token = inner(word[at:stop])
-                if token is None:
-                    break
-                if token >= 0:
-                    tokens.append((stop, token))
-            token = final(word[at:] if at else word)
-            if token is not None:
-                tokens.append((end, token))
+            rest = word[at : at + longest]
+            token = inner.get(rest[: beginning(rest)], -1)
             while True:
-                if not tokens:  # back to the place before, and on with its next shorter arc
+                if token < 0:  # back to the place before, and on with its next shorter arc
                     dead.add(at)
-                    tokens = open_arcs.pop()
-                    out.pop()
-                    continue
-                stop, token = tokens.pop()
-                if stop in dead:
-                    continue
-                if out:
+                    token = out.pop()
+                    at -= length[token]
+                elif at + length[token] not in dead:
+                    if not out:
+                        break
                     key = out[-1] << SHIFT | token
-                    ok = arcs.get(key)
-                    if ok is None:
-                        ok = arcs[key] = self.has_arc(out[-1], token)
-                    if not ok:
-                        continue
-                break
+                    known = arcs.get(key)
+                    if known is None:
+                        known = arcs[key] = self.has_arc(out[-1], token)
+                    if known:
+                        break
+                token = shorter[token]
             out.append(token)
-            open_arcs.append(tokens)
-            at = stop
-        if len(arcs) > CACHED_ARCS:
-            arcs.clear()
+            at += length[token]
+        if len(self.arcs) > CACHED_ARCS:
+            self.arcs.clear()
         return out
 
 
@@ -188,7 +196,10 @@ def latin_pattern(pattern: str) -> re.Pattern:
 
 
 class Tokenizer:
-    """A vocabulary file's splitting rules around its automaton; ``kept`` holds recent words."""
+    """A vocabulary file's splitting rules around its automaton.
+
+    ``kept`` holds the ids of recent words and ``older`` those of the words before them.
+    """
 
     def __init__(self, name: str):
         with open(public_tokenizers.path(name), encoding="utf-8") as file:
@@ -209,6 +220,7 @@ class Tokenizer:
         self.words = word_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], recent, self.library)
         self.symbols = {b: s for b, s in enumerate(byte_symbols())}
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def normalised(self, text: str) -> str:
         """Composed and lower-cased character by character; white space only separates words."""
@@ -219,11 +231,15 @@ class Tokenizer:
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def encoded_word(self, word: str) -> bytes:
-        symbols = word.encode("utf-8").decode("latin-1").translate(self.symbols)
-        ids = np.array(self.automaton.encode(symbols), dtype=np.int32).tobytes()
-        if len(self.kept) >= CACHED_WORDS:
-            self.kept.clear()
-        self.kept[word] = ids
+        ids = self.kept.get(word) or self.older.get(word)
+        if ids is None:
+            plain = word.isascii() and word.isprintable()  # such bytes stand for themselves
+            symbols = word if plain else word.encode("utf-8").decode("latin-1").translate(self.symbols)
+            ids = array("i", self.automaton.encode(symbols)).tobytes()
+        if len(word) <= CACHED_LENGTH:
+            if len(self.kept) >= CACHED_WORDS:
+                self.kept, self.older = {}, self.kept
+            self.kept[word] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
