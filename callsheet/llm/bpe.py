@@ -267,15 +267,23 @@ def tokenizer(name: str) -> Tokenizer:
     return Tokenizer(name)
 
 
+def encoded(column: pa.Array, tokens: Tokenizer) -> pa.Array:
+    rows = [tokens.encode(t.as_py()) if t.is_valid else np.zeros(0, np.int32) for t in column]
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate(rows) if rows else np.zeros(0, np.int32))
+
+
+def decoded(ids: pa.Array, tokens: Tokenizer) -> pa.Array:
+    ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+    return pa.array([tokens.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+
+
 def encode(text: Column, vocabulary: str = VOCABULARY) -> Column:
     """Token ids of each whole text; null counts as empty."""
 
     @F.arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
-        tokens = tokenizer(vocabulary)
-        rows = [tokens.encode(t.as_py()) if t.is_valid else np.zeros(0, np.int32) for t in column]
-        ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-        return pa.ListArray.from_arrays(ends, np.concatenate(rows) if rows else np.zeros(0, np.int32))
+        return encoded(column, tokenizer(vocabulary))
 
     return run(text)
 
@@ -285,13 +293,26 @@ def decode(ids: Column, vocabulary: str = VOCABULARY) -> Column:
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        tokens = tokenizer(vocabulary)
-        ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-        return pa.array([tokens.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+        return decoded(column, tokenizer(vocabulary))
 
     return run(ids)
 
 
+def round_trip(text: Column, vocabulary: str = VOCABULARY) -> Column:
+    """``struct(ids, decoded)``: a text encoded, and its ids decoded, in one evaluation.
+
+    ``decode(encode(text))`` beside ``encode(text)`` would encode twice, once for each column.
+    """
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def run(column: pa.Array) -> pa.Array:
+        tokens = tokenizer(vocabulary)
+        ids = encoded(column, tokens)
+        return pa.StructArray.from_arrays([ids, decoded(ids, tokens)], ["ids", "decoded"])
+
+    return run(text)
+
+
 def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, ids, decoded`` of every whole text of ``docs`` (``doc_id``, ``text``).
 
@@ -299,8 +320,8 @@ def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     decoded text. Strings of special tokens in a text become those tokens. An empty table gives an
     empty table. Other columns are not read.
     """
-    encoded = docs.select("doc_id", encode(F.col("text"), vocabulary).alias("ids"))
-    return encoded.withColumn("decoded", decode(F.col("ids"), vocabulary))
+    both = docs.select("doc_id", round_trip(F.col("text"), vocabulary).alias("both"))
+    return both.select("doc_id", "both.ids", "both.decoded")
 
 
 def digest(rows: DataFrame, *also: str) -> DataFrame:
