@@ -29,9 +29,9 @@ VOCABULARY = "word_bpe_49k.json"
 NEVER = 1 << 40
 SHIFT = 20
 END = "\uffff"
-CACHED_WORDS = 200_000
+CACHED_WORDS = 60_000
 CACHED_LENGTH = 64
-CACHED_ARCS = 400_000
+CACHED_ARCS = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -215,9 +215,10 @@ class Tokenizer:
         self.beyond_latin = re.compile(f"[^\\x00-\\u{LATIN - 1:04x}]")
         self.parts = regex.compile("(" + "|".join(regex.escape(c) for c in self.special) + ")")
         recent = recent_letters()
-        self.library = Library.from_file(public_tokenizers.path(name))
+        library = Library.from_file(public_tokenizers.path(name))
+        self.normalizer = library.normalizer  # the rest of the library's memory is freed
         self.recent = regex.compile(char_class(recent)) if recent else regex.compile("(?!)")
-        self.words = word_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], recent, self.library)
+        self.words = word_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], recent, library)
         self.symbols = {b: s for b, s in enumerate(byte_symbols())}
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -227,7 +228,7 @@ class Tokenizer:
         if in_latin_1(text):  # composed as it is, and without any recent letter
             return text.lower()
         if self.recent.search(text):  # characters whose case Python does not know yet
-            return self.library.normalizer.normalize_str(text)
+            return self.normalizer.normalize_str(text)
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def encoded_word(self, word: str) -> bytes:
