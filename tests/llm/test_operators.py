@@ -148,6 +148,16 @@ def test_jaccard_components_match_brute_force(docs, monkeypatch, limits):
     assert sorted(r.doc_id for r in kept.collect() if r.text and r.text.strip()) == sorted(groups)
 
 
+def test_components_of_null_or_shared_ids_keep_a_row_each(docs):
+    rng = random.Random(12)
+    a, b, c, x, y, z = (prose(rng, 60) for _ in range(6))
+    rows = [(None, a), (None, a + " end"), (None, b), (None, b), (None, c), (5, x), (7, x + " end"), (5, y), (5, y), (6, z), (6, z + " end")]
+    kept = [(r.doc_id, r.text) for r in jaccard.first_of_each(docs(rows)).collect()]
+    families = [{(None, a), (None, a + " end")}, {(None, b)}, {(None, c)}, {(5, x)}, {(5, y)}, {(6, z), (6, z + " end")}]
+    assert len(kept) == len(families)
+    assert all(len(family & set(kept)) == 1 for family in families)
+
+
 def sellers(pattern, text):
     row = list(range(1))
     row = [0] * (len(text) + 1)
