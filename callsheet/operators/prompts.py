@@ -38,7 +38,7 @@ def check_templates(templates: DataFrame, modes: Sequence[str], version: str) ->
     }
     for mode in modes:
         if mode not in found:
-            known = templates.select("mode").distinct().orderBy("mode").limit(50).collect()
+            known = templates.select("mode").distinct().orderBy("mode").collect()
             listed = ", ".join(row.mode for row in known) or "(none)"
             raise ValueError(
                 f"No prompt template for mode={mode!r} version={version!r}. Available modes: {listed}."
@@ -71,6 +71,6 @@ def render(artifacts: DataFrame, templates: DataFrame, modes: Sequence[str], ver
     )
 
 
-def render_parts(parts: DataFrame, templates: DataFrame, modes: Sequence[str], version: str, max_chars: int) -> DataFrame:
+def render_parts(parts: DataFrame, templates: DataFrame, modes: Sequence[str], version: str, max_chars: int | None = None) -> DataFrame:
     """Prompts straight from artifact parts; see ``render``."""
     return render(assemble(parts, max_chars), templates, modes, version)

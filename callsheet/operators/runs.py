@@ -230,7 +230,11 @@ def retry(
     limits: dict[str, int] | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Redo the selected cells and put them back at their place; the others stay as they are."""
+    """Redo the selected cells and put them back at their place; the others stay as they are.
+
+    Every prompt is sent again. A run whose caller bounded a provider's prompts is redone under the
+    same bounds only if ``limits`` names them.
+    """
     chosen = F.coalesce(errored() if should_retry is None else should_retry, F.lit(False))
     cell = F.struct("seq", "total", "provider", "model").alias("c")
     again = (

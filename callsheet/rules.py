@@ -218,8 +218,11 @@ class PiiRules:
 
 @dataclass(frozen=True)
 class Provider:
-    """One configured completion source; ``model`` falls back to the registry default."""
+    """One configured completion source; ``model`` falls back to the registry default.
+
+    Every prompt is sent, whatever its length, unless the caller sets ``max_prompt_chars``.
+    """
 
     name: str
     model: str | None = None
-    max_prompt_chars: int = 4_000_000
+    max_prompt_chars: int = 0

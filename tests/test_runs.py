@@ -130,6 +130,22 @@ def test_unassembled_prompt_becomes_an_error_row(captures, templates, spark):
     assert rows["b", "fake"].error is None
 
 
+def test_prompts_of_any_length_are_sent(captures, templates, spark):
+    parts = spark.createDataFrame([("a", 1, "y" * 2_500_000), ("a", 0, "x" * 2_500_000), ("b", 0, "z")], "capture_id string, part long, text string")
+    providers = runs.pick_providers(PROVIDERS, {"fake": "f", "other": "o"})
+    table = runs.plan_runs(captures, providers, ["minimal"], NOW)
+    rendered = prompts.render_parts(parts, templates, ["minimal"], "v5")
+    assert {r.capture_id: (r.prompt_chars, r.prompt[:9], r.prompt[-1]) for r in rendered.collect()} == {"a": (5_000_006, "Look: xxx", "y"), "b": (7, "Look: z", "z")}
+    first = runs.run(table, rendered, providers, build, 1).collect()
+    assert {(r.prompt_chars, r.error, r.response.text) for r in first} == {(5_000_006, None, "seen 5000006 chars"), (7, None, "seen 7 chars")}
+
+
+def test_missing_mode_lists_every_known_one(artifacts, spark):
+    known = spark.createDataFrame([(f"m{i:03}", "v5", "{{artifact}}") for i in range(60)], "mode string, version string, body string")
+    with pytest.raises(ValueError, match="m000, .*m059"):
+        prompts.render(artifacts, known, ["gone"], "v5")
+
+
 def test_providers(spark):
     registry = {"fake": "default-1"}
     assert runs.pick_providers([Provider("fake")], registry)[0].model == "default-1"
