@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from callsheet.llm.common import Texts, byte_views, mixed, remainder, span_hashes, spans
 
 WINDOW = 32
-STRIDE = 24
+#: Half a window, so that a passage of up to ``WINDOW - STRIDE + 1`` words lies whole in one.
+STRIDE = WINDOW // 2
 HIDDEN = 8
 INPUTS = 4
 BUCKETS = 1 << 18
@@ -281,14 +282,18 @@ def rated(model: Model | None, text: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """A bounded sample of labelled documents, chosen by hash: ``text, toxic``."""
+    """A bounded sample of labelled documents, chosen by hash: ``text, toxic``.
+
+    Only labels of documents that fit ``SAMPLE_BYTES`` take a place.
+    """
     key = F.col("doc_id")
     known = labels.where("toxic is not null and doc_id is not null").where(remainder(key, 5) != 0)
-    known = known.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).alias("toxic"))
+    fits = docs.where(F.octet_length("text") <= SAMPLE_BYTES)
+    known = known.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).alias("toxic")).join(fits.select("doc_id"), "doc_id", "left_semi")
     rank = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
     limit = F.when(F.col("toxic"), SAMPLE_TOXIC).otherwise(SAMPLE_CLEAN)
     ids = known.withColumn("rank", rank).where(F.col("rank") <= max(SAMPLE_TOXIC, SAMPLE_CLEAN)).where(F.col("rank") <= limit)
-    fitting = docs.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), "doc_id")  # at most 4,500 ids
+    fitting = fits.join(F.broadcast(ids), "doc_id")  # at most 4,500 ids
     one = fitting.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic")
 

@@ -207,6 +207,33 @@ def test_url_verdicts_follow_the_dates(spark):
     assert urlfilter.verdicts(captures.where(day("2024-01-01") > "2025-01-01"), entries).count() == 0
 
 
+def test_passages_lie_whole_in_a_window_wherever_they_stand():
+    size = toxicity.WINDOW // 2 + 1
+    index, _ = toxicity.windows(np.array([0, 200]))
+    assert all(any(set(range(at, at + size)) <= set(row) for row in index.tolist()) for at in range(200 - size + 1))
+
+
+def test_toxicity_of_a_passage_holds_when_shifted():
+    rng = random.Random(21)
+    clean = prose(rng, 400).split(" ")
+    bad = prose(rng, 16, "uvwxyz").split(" ")
+    texts = [" ".join(rng.choices(clean, k=60)) for _ in range(60)]
+    texts += [" ".join([*rng.choices(clean, k=20), *bad, *rng.choices(clean, k=20)]) for _ in range(60)]
+    model = toxicity.fit(texts, np.arange(120) >= 60)
+    around = rng.choices(clean, k=160)
+    scores = toxicity.scores_of(model, toxicity.pa.array([" ".join(around[:at] + bad + around[at:]) for at in range(100)]))
+    assert scores.min() > 0.5 and scores.max() - scores.min() < 0.1
+
+
+def test_toxicity_sample_counts_usable_documents(spark, docs, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 3)
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 4)
+    rows = [(i, f"text {i}") for i in range(40)] + [(i, "x" * (toxicity.SAMPLE_BYTES + 1)) for i in range(40, 200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    got = Counter(r.toxic for r in toxicity.sample(docs(rows).select("doc_id", "text"), labels).collect())
+    assert got == {True: 3, False: 4}
+
+
 def test_scores_learn_and_survive_odd_rows(spark, docs):
     rng = random.Random(8)
     good = [(i, prose(rng, 60).capitalize() + ".") for i in range(1000, 1150)]
