@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 FOREVER = "9999-12-31"
 
 
+def plain_host(host: Column) -> Column:
+    """Lower case without final dots."""
+    return F.lower(F.regexp_replace(host, r"\.+$", ""))
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port and final dots; empty text if there is none."""
     host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1)
-    return F.lower(F.regexp_replace(host, r"\.+$", ""))
+    return plain_host(host)
 
 
 def path_of(url: Column) -> Column:
@@ -46,9 +51,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     An ``add`` holds from its date until the day of the key's next entry in that list, or for
     ever. Of several entries on one day the removal wins. Entries with a null or another action are
-    left out. Keys are compared in lower case up to the path.
+    left out. Keys are compared in lower case and without final dots up to the path.
     """
     day = entries.where("list is not null and key is not null and dated is not null and action in ('add', 'remove')")
+    host = F.regexp_extract("key", "^[^/]*", 0)
+    day = day.withColumn("key", F.concat(plain_host(host), F.substr("key", F.length(host) + 1)))
     day = day.groupBy("list", "key", "dated").agg(F.max("action").alias("action"))
     following = F.lead("dated").over(W.partitionBy("list", "key").orderBy("dated"))
     spans = day.withColumn("until", F.coalesce(following, F.lit(FOREVER).cast("date")))

@@ -207,6 +207,17 @@ def test_url_verdicts_follow_the_dates(spark):
     assert urlfilter.verdicts(captures.where(day("2024-01-01") > "2025-01-01"), entries).count() == 0
 
 
+def test_url_entries_in_other_spellings_match(spark):
+    entries = spark.createDataFrame(
+        [("spam", "Example.COM", "add", "2024-01-10"), ("spam", "example.com.", "remove", "2024-03-01"), ("adult", "A.Other.org./Sec/", "add", "2024-01-10"), ("ads", "dot.net..", "add", "2024-01-10")],
+        "list string, key string, action string, dated string",
+    ).withColumn("dated", F.to_date("dated"))
+    rows = [(1, "http://www.example.com/", "2024-02-01"), (2, "http://www.example.com/", "2024-03-02"), (3, "http://a.other.ORG/Sec/x", "2024-02-01"), (4, "http://a.other.org/sec/x", "2024-02-01"), (5, "http://dot.net", "2024-02-01")]
+    captures = spark.createDataFrame(rows, "capture_id long, url string, fetched string").withColumn("fetched", F.to_date("fetched"))
+    got = {r.capture_id: (r.lists, r.reason) for r in urlfilter.verdicts(captures, entries).collect()}
+    assert got == {1: ("spam", "example.com"), 2: ("", ""), 3: ("adult", "a.other.org/Sec/"), 4: ("", ""), 5: ("ads", "dot.net")}
+
+
 def test_passages_lie_whole_in_a_window_wherever_they_stand():
     size = toxicity.WINDOW // 2 + 1
     index, _ = toxicity.windows(np.array([0, 200]))
