@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsheet.llm import bpe, decontam, jaccard, langid, quality, suffix, tokencount, topk, toxicity, urlfilter
+from callsheet.llm import bpe, decontam, jaccard, langid, prefixtrie, quality, suffix, tokencount, tokenfile, topk, toxicity, urlfilter, whitening
 from callsheet.llm.common import table
 from callsheet.plans.query import Query
 
@@ -119,6 +119,52 @@ def _jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.score(table(spark, sf_dir, "documents"))
 
 
+def _prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
+#: crc32 is worked out bit by bit from the digits of an id; a path is the row of its turns' digests.
+TRIE_SQL = r"""
+with turns as (
+  select conv_id, sha256(cast(length(coalesce(role, '')) as varchar) || ':' || coalesce(role, '') || coalesce(text, '')) as digest,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words,
+    row_number() over (partition by conv_id order by turn nulls first, sha256(cast(length(coalesce(role, '')) as varchar) || ':' || coalesce(role, '') || coalesce(text, ''))) as n
+  from conversations where conv_id is not null),
+heads as (
+  select conv_id, xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(cast(conv_id as varchar), ''), lambda d: cast(ord(d) as bigint))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384::bigint * (x & 1)))), 4294967295::bigint) % 4 as h
+  from (select distinct conv_id from turns)),
+taken as (
+  select c.conv_id, b.n as d, b.digest, b.words from heads c join turns b on b.conv_id = c.conv_id - c.conv_id % 20 and b.n <= c.h
+  union all
+  select c.conv_id, least(c.h, (select count(*) from turns b where b.conv_id = c.conv_id - c.conv_id % 20)) + t.n - c.h, t.digest, t.words
+  from heads c join turns t on t.conv_id = c.conv_id and t.n > c.h),
+steps as (
+  select conv_id, 0 as d, '' as path, 0 as words from heads
+  union all select conv_id, d, string_agg(digest, '') over (partition by conv_id order by d), words from taken),
+lengths as (select conv_id, max(d) as d, arg_max(path, d) as path from steps group by conv_id),
+ended as (select path, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids from lengths group by path),
+nodes as (select path, d as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words from steps group by path, d),
+kids as (select left(path, 64 * (depth - 1)) as path, count(*) as n from nodes where depth > 0 group by 1),
+full_nodes as (select n.*, coalesce(k.n, 0) as n_children from nodes n left join kids k using (path)),
+below as (
+  select left(path, 64 * up) as path, sum(case when n_children = 0 then 1 else 0 end) as n_leaves, sum((n_convs - 1) * words) as saved
+  from (select *, unnest(range(depth + 1)) as up from full_nodes) group by 1)
+select n.conv_id, cast(n.depth as bigint) as depth, p.conv_id as parent_conv_id, cast(n.n_convs as bigint) as n_convs, cast(n.n_children as bigint) as n_children,
+  cast(b.n_leaves as bigint) as n_leaves, cast(b.saved as bigint) as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from full_nodes n join below b using (path) left join ended e using (path)
+left join full_nodes p on n.depth > 0 and p.depth = n.depth - 1 and p.path = left(n.path, 64 * (n.depth - 1))
+"""
+
+
+def _token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.stored(table(spark, sf_dir, "documents"))
+
+
+def _whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_top_k": Query(_top_k, TOP_K_SQL),
     "op2_quality": Query(_quality),
@@ -130,4 +176,7 @@ QUERIES: dict[str, Query] = {
     "op8_language": Query(_language),
     "op9_jaccard": Query(_jaccard),
     "op10_toxicity": Query(_toxicity),
+    "op11_prefix_trie": Query(_prefix_trie, TRIE_SQL),
+    "op12_token_files": Query(_token_files),
+    "op13_whitening": Query(_whitening),
 }
