@@ -7,10 +7,18 @@ per-capture row is repeated once per slice its capture really has.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callsheet.functions.lineage import cut_lineage
+
 ENTRIES_PER_SLICE = 1024
+#: Keys that count as hot in a join: at most so many can hold their share of the rows.
+HOT_KEYS = 4096
+#: Rows of a key below which it is never hot.
+HOT_ROWS = 10_000
 
 
 def slice_of(index: Column | str = "entry_index") -> Column:
@@ -40,6 +48,32 @@ def join_by_slice(
     )
 
 
+def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Keys of more than ``1 / HOT_KEYS`` of all ``rows`` (and ``HOT_ROWS``), so ``HOT_KEYS`` at most.
+
+    Counts combine before their shuffle, so a hot key costs no task more than others do. None if no
+    key is hot.
+    """
+    counts = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > max(HOT_ROWS, total // HOT_KEYS)).select(*keys)
+    return None if hot.isEmpty() else hot
+
+
+def join_apart(rows: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of ``rows``, where a few keys may hold most of them, with unique keys of ``lookup``.
+
+    Rows of hot keys stay where they are and meet a broadcast of the few rows that ``lookup`` has for
+    them; only the others are shuffled. ``rows`` should be cheap to read twice.
+    """
+    hot = hot_keys(rows, keys)
+    if hot is None:
+        return rows.join(lookup, list(keys))
+    few = F.broadcast(hot)  # HOT_KEYS keys at most
+    cold = rows.join(few, list(keys), "left_anti").join(lookup, list(keys))
+    return cold.unionByName(rows.join(F.broadcast(lookup.join(few, list(keys), "left_semi")), list(keys)))
+
+
 SALTS = 16
 
 

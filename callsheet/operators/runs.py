@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from callsheet import rules
 from callsheet.functions.text import model_slug, slug
 from callsheet.schemas import RAW_RESPONSE, RESPONSES
+from callsheet.sources.ledger import Ledger
 
 Complete = Callable[[str], Mapping[str, Any]]
 Build = Callable[[str, str], Complete]
@@ -122,7 +123,7 @@ def call_one(complete: Complete, name: str, model: str, prompt: str) -> tuple[st
         return f"{type(exc).__name__}: {exc}", blank | {"text": "", "latency_ms": 0.0}
 
 
-def _caller(build: Build, limits: dict[str, int]):
+def _caller(build: Build, limits: dict[str, int], ledger: Ledger | None):
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready: dict[tuple[str, str], Complete] = {}
         for batch in batches:
@@ -131,6 +132,11 @@ def _caller(build: Build, limits: dict[str, int]):
                 prompt, cells = row.pop("prompt"), row.pop("cells")
                 for cell in cells:
                     name, model = cell["provider"], cell["model"]
+                    place = row | {k: cell[k] for k in ("seq", "total", "provider", "model")} | {"dry_run": False}
+                    known = ledger.find(row["run_id"], cell["seq"]) if ledger else None
+                    if known:
+                        out.append(place | {"error": known[0], "response": known[1]})
+                        continue
                     limit = limits.get(name, 0)
                     if prompt is None or 0 < limit < row["prompt_chars"]:
 
@@ -142,21 +148,19 @@ def _caller(build: Build, limits: dict[str, int]):
                             ready[name, model] = build(name, model)
                         complete = ready[name, model]
                     error, response = call_one(complete, name, model, prompt)
-                    out.append(
-                        row
-                        | {k: cell[k] for k in ("seq", "total", "provider", "model")}
-                        | {"dry_run": False, "error": error, "response": response}
-                    )
+                    if ledger:
+                        ledger.keep(row["run_id"], cell["seq"], error, response)
+                    out.append(place | {"error": error, "response": response})
             yield pd.DataFrame(out, columns=RESPONSES.fieldNames())
 
     return call
 
 
-def _answer(jobs: DataFrame, build: Build, limits: dict[str, int], partitions: int | None) -> DataFrame:
+def _answer(jobs: DataFrame, build: Build, limits: dict[str, int], partitions: int | None, ledger: Ledger | None = None) -> DataFrame:
     """Call every cell of ``jobs``; each prompt travels once for all its providers."""
     keys = ["capture_id", "mode"]
     spread = jobs.repartition(partitions, *keys) if partitions else jobs.repartition(*keys)
-    return spread.mapInPandas(_caller(build, limits), RESPONSES)
+    return spread.mapInPandas(_caller(build, limits, ledger), RESPONSES)
 
 
 def _cells(providers: Sequence[rules.Provider], n_modes: int) -> Column:
@@ -185,11 +189,13 @@ def run(
     n_modes: int,
     dry_run: bool = False,
     partitions: int | None = None,
+    ledger: Ledger | None = None,
 ) -> DataFrame:
     """Responses of every (capture, mode, provider).
 
     The calls happen whenever the result is computed: pass it to ``store_runs`` once and go on
-    with what ``load_runs`` returns. A dry run plans no Python at all.
+    with what ``load_runs`` returns. With a ``ledger`` each cell is called for once, however often
+    tasks or the whole run are started again. A dry run plans no Python at all.
     """
     jobs = (
         prompts.join(runs.select("run_id", "capture_id"), "capture_id")
@@ -198,7 +204,7 @@ def run(
     )
     if not dry_run:
         limits = {p.name: p.max_prompt_chars for p in providers}
-        return _answer(jobs, build, limits, partitions)
+        return _answer(jobs, build, limits, partitions, ledger)
     cells = jobs.select(*JOB[:5], F.inline("cells"))
     blank = {f.name: F.lit(None).cast(f.dataType) for f in RAW_RESPONSE.fields}
     blank |= {
@@ -229,11 +235,12 @@ def retry(
     should_retry: Column | None = None,
     limits: dict[str, int] | None = None,
     partitions: int | None = None,
+    ledger: Ledger | None = None,
 ) -> DataFrame:
     """Redo the selected cells and put them back at their place; the others stay as they are.
 
     Every prompt is sent again. A run whose caller bounded a provider's prompts is redone under the
-    same bounds only if ``limits`` names them.
+    same bounds only if ``limits`` names them. A ``ledger`` needs an attempt of its own.
     """
     chosen = F.coalesce(errored() if should_retry is None else should_retry, F.lit(False))
     cell = F.struct("seq", "total", "provider", "model").alias("c")
@@ -244,7 +251,7 @@ def retry(
         .join(prompts.select("capture_id", "mode", "version", "prompt_chars", "prompt"), ["capture_id", "mode", "version"])
         .select(*JOB)
     )
-    redone = _answer(again, build, limits or {}, partitions)
+    redone = _answer(again, build, limits or {}, partitions, ledger)
     return responses.filter(~chosen).unionByName(redone)
 
 

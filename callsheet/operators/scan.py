@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callsheet import rules
 from callsheet.functions.entry import body_text, read_entries
+from callsheet.functions.lineage import cut_lineage
 from callsheet.functions.text import header_name, hits, literal_map, mask
 from callsheet.schemas import HIT
+from callsheet.sources.ranges import cut_files, entries_of
 
 # Reading order as one number: entry, step, pattern, position. A fixed-width key lets the roll-up
 # run as a hash aggregation with map-side combine.
@@ -217,6 +219,12 @@ def scan(entries: DataFrame, per_category: int = rules.MAX_FINDINGS_PER_CATEGORY
     return cap(roll_up(raw_findings(entries)), per_category)
 
 
+def scan_files(spark: SparkSession, *paths: str, per_category: int = rules.MAX_FINDINGS_PER_CATEGORY, published: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(findings, captures, rejects)`` of HAR files of any size, or of a folder of published captures."""
+    cut = cut_files(spark, *paths, published=published)
+    return cut_lineage(scan(entries_of(cut), per_category)), cut.captures, cut.rejects
+
+
 def report_order(findings: DataFrame) -> DataFrame:
     """Sort rows for reading: capture, severity, category, first place."""
     return findings.orderBy("capture_id", "severity_rank", "category", "place")
@@ -267,6 +275,7 @@ def report_lines(findings: DataFrame, captures: DataFrame) -> DataFrame:
 
     A report is as long as its capture has findings, so its lines stay rows. ``captures`` has ``capture_id`` and ``source_har``.
     """
+    findings = cut_lineage(findings)  # counted and listed
     summary = severity_counts(findings, captures)
     title = F.concat(F.lit("# Security scan — "), F.col("source_har"))
     fixed = [title, F.lit(""), *map(F.lit, REPORT_INTRO), F.lit(""), F.col("summary"), F.lit("")]

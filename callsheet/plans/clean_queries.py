@@ -145,6 +145,16 @@ def _har(spark, sf_dir) -> DataFrame:
     return read.select("capture_id", "entry_index", "method", "url", F.col("response").isNotNull().alias("answered"))
 
 
+def _two_sided(spark, sf_dir) -> DataFrame:
+    """Calls with both sides, beside the entries that were seen: one in two has no response."""
+    valid, _ = split_valid(har_texts(spark, sf_dir))
+    entries = explode_entries(valid)
+    calls = clean.preprocess(entries)
+    totals = clean.capture_totals(valid, entries, calls)
+    kept = calls.select("capture_id", "entry_index", "url", "status")
+    return kept.join(totals.select("capture_id", "total_entries", "kept_calls"), "capture_id")
+
+
 def _documents(spark, sf_dir) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -181,6 +191,11 @@ QUERIES = {
         """SELECT CAST(o_orderkey AS VARCHAR) AS capture_id, i AS entry_index, CASE i WHEN 0 THEN 'GET' ELSE '' END AS method,
   CASE i WHEN 0 THEN 'https://x/' || o_orderkey ELSE 'https://y/' END AS url, i = 0 AS answered
 FROM orders, (VALUES (CAST(0 AS BIGINT)), (2)) v(i) WHERE o_orderkey % 10 <> 3""",
+    ),
+    "two_sided_calls": Query(
+        _two_sided,
+        """SELECT CAST(o_orderkey AS VARCHAR) AS capture_id, CAST(0 AS BIGINT) AS entry_index, 'https://x/' || o_orderkey AS url,
+  200 AS status, CAST(2 AS BIGINT) AS total_entries, CAST(1 AS BIGINT) AS kept_calls FROM orders WHERE o_orderkey % 10 <> 3""",
     ),
     "har_rejects": Query(
         lambda spark, d: split_valid(har_texts(spark, d))[1],

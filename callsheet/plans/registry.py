@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from callsheet.plans import (
     clean_queries,
+    document_queries,
     pseudo_queries,
     redact_queries,
     run_queries,
@@ -19,4 +20,5 @@ def registry() -> dict[str, Query]:
         **redact_queries.QUERIES,
         **pseudo_queries.QUERIES,
         **run_queries.QUERIES,
+        **document_queries.QUERIES,
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from datetime import datetime
 from typing import Any
@@ -11,11 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import callsheet
+from callsheet.functions.lineage import shared_folder
 from callsheet.functions.slices import spread
 from callsheet.functions.text import model_slug, slug
 from callsheet.operators import matrix, outline, prompts, runs
 from callsheet.plans.query import Query
 from callsheet.rules import DRY_RUN_TEXT, VENDOR_PREFIXES, Provider
+from callsheet.sources.ledger import Ledger
+from callsheet.sources.runs import compact_runs, load_runs, store_runs
 from callsheet.sources.templates import available_modes, unknown_modes
 
 # Python workers get the package with the function instead of importing it.
@@ -31,8 +35,7 @@ TEMPLATES = {
     ("verbose", "v2"): "Tell all about {{artifact}}",
 }
 REGISTRY = {"alpha": "claude-alpha 1", "beta": "models/beta-2", "gamma": "gamma"}
-PROVIDERS = (Provider("alpha"), Provider("beta", "models/beta 9", 600))
-MAX_CHARS = 1_000_000
+PROVIDERS = (Provider("alpha"), Provider("beta", "models/beta 9"))
 
 
 class Refused(Exception):
@@ -46,6 +49,8 @@ def build(name: str, model: str):
         n = len(prompt)
         if name == "alpha" and n % 7 == 0:
             raise Refused(f"no answer for {n}")
+        if name == "beta" and n > 600:  # this model's own limit: it is called and says so
+            raise ValueError(f"prompt of {n} chars exceeds the limit")
         return {
             "text": f"# {name}\nseen {n} chars",
             "input_tokens": n // 4,
@@ -91,7 +96,7 @@ def _runs(spark, sf_dir, dry_run: bool = False) -> DataFrame:
     return runs.plan_runs(captures, runs.pick_providers(PROVIDERS, REGISTRY), MODES, NOW, dry_run)
 
 
-def _responses(spark, sf_dir, dry_run: bool = False) -> DataFrame:
+def _responses(spark, sf_dir, dry_run: bool = False, ledger: Ledger | None = None) -> DataFrame:
     return runs.run(
         _runs(spark, sf_dir, dry_run),
         _prompts(spark, sf_dir),
@@ -99,9 +104,29 @@ def _responses(spark, sf_dir, dry_run: bool = False) -> DataFrame:
         None if dry_run else build,
         len(MODES),
         dry_run,
+        ledger=ledger,
     )
 
 
+def _loaded(spark, sf_dir) -> DataFrame:
+    """Responses of calls that were made, with a ledger; stored in two appends, merged, and read back."""
+    root = f"{shared_folder(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    table = _runs(spark, sf_dir)
+    answers = _responses(spark, sf_dir, ledger=Ledger(f"{root}/ledger"))
+    odd = lambda rows: rows.filter(F.pmod(F.xxhash64("run_id"), F.lit(2)) == 1)
+    even = lambda rows: rows.filter(F.pmod(F.xxhash64("run_id"), F.lit(2)) == 0)
+    store_runs(odd(table), odd(answers), f"{root}/store")
+    store_runs(even(table), even(answers), f"{root}/store")
+    compact_runs(spark, f"{root}/store", f"{root}/merged")
+    manifest, stored = load_runs(spark, f"{root}/merged")
+    return _flat(stored.join(manifest.select("run_id"), "run_id", "left_semi"))
+
+
+def _chosen(spark, sf_dir) -> DataFrame:
+    """The caller's own predicate: long prompts are sent again, whether they failed or not."""
+    return _flat(runs.retry(_stored(spark, sf_dir), _prompts(spark, sf_dir), build_again, should_retry=F.col("prompt_chars") > 500))
+
+
 def _flat(responses: DataFrame) -> DataFrame:
     kept = ("run_id", "seq", "total", "provider", "model", "mode", "version", "prompt_chars", "dry_run", "error")
     parts = ("text", "input_tokens", "output_tokens", "reasoning_tokens", "latency_ms", "stop_reason")
@@ -315,6 +340,15 @@ QUERIES = {
         f"""WITH {CELLS_CTE} SELECT run_id, seq, total, provider, model, mode, version, prompt_chars, dry_run, CAST(NULL AS VARCHAR) AS error,
   CASE WHEN error IS NULL THEN text ELSE 'redone ' || prompt_chars END AS text, input_tokens, output_tokens, reasoning_tokens,
   CASE WHEN error IS NULL THEN latency_ms ELSE 1.0 END AS latency_ms, stop_reason FROM responses""",
+    ),
+    "stored_runs": Query(_loaded, f"WITH {CELLS_CTE} SELECT {FLAT_SQL} FROM responses"),
+    "retry_chosen": Query(
+        _chosen,
+        f"""WITH {CELLS_CTE} SELECT run_id, seq, total, provider, model, mode, version, prompt_chars, dry_run,
+  CASE WHEN prompt_chars <= 500 THEN error END AS error, CASE WHEN prompt_chars <= 500 THEN text ELSE 'redone ' || prompt_chars END AS text,
+  CASE WHEN prompt_chars <= 500 THEN input_tokens END AS input_tokens, CASE WHEN prompt_chars <= 500 THEN output_tokens END AS output_tokens,
+  CASE WHEN prompt_chars <= 500 THEN reasoning_tokens END AS reasoning_tokens, CASE WHEN prompt_chars <= 500 THEN latency_ms ELSE 1.0 END AS latency_ms,
+  CASE WHEN prompt_chars <= 500 THEN stop_reason END AS stop_reason FROM responses""",
     ),
     "backfill_by_position": Query(
         _backfilled,

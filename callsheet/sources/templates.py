@@ -1,4 +1,4 @@
-"""Prompt templates: one Markdown file per ``<root>/<mode>/<version>.md``."""
+"""Prompt templates: one Markdown file per ``<root>/<mode>/<version>.md``, or a folder of that name with one file."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ MAX_TEMPLATE_BYTES = 16 * 1024 * 1024
 def read_templates(spark: SparkSession, root: str) -> DataFrame:
     """``templates(mode, version, body)``, the names taken from the paths."""
     name = F.url_decode(F.input_file_name())
-    path = r"([^/]+)/([^/]+)\.md$"
+    path = r"([^/]+)/([^/]+)\.md(?:/[^/]*)?$"
     return spark.read.text(f"{root.rstrip('/')}/*/*.md", wholetext=True).select(
         F.regexp_extract(name, path, 1).alias("mode"),
         F.regexp_extract(name, path, 2).alias("version"),
@@ -31,8 +31,6 @@ def unknown_modes(requested: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def size_checked(templates: DataFrame, max_bytes: int = MAX_TEMPLATE_BYTES) -> DataFrame:
-    """``templates`` marked for broadcast after measuring that they fit ``max_bytes``."""
+    """``templates`` marked for broadcast if they are measured to fit ``max_bytes``, else as they are."""
     size = templates.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    if size > max_bytes:
-        raise ValueError(f"templates hold {size} bytes; {max_bytes} is the limit for a broadcast")
-    return F.broadcast(templates)
+    return F.broadcast(templates) if size <= max_bytes else templates
