@@ -112,7 +112,7 @@ from captures c left join found f using (capture_id)
 
 
 def _suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.digest(table(spark, sf_dir, "documents"))
+    return suffix.digest(table(spark, sf_dir, "documents"), "text")
 
 
 def _jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
