@@ -22,13 +22,15 @@ def _has(raw: Column, key: str, opener: str) -> Column:
     """True when ``key`` of the object itself holds a value starting with ``opener``.
 
     The text tells it where ``key`` occurs with one kind of value only. Where a nested object has a
-    namesake of another kind, the object's own value is looked up.
+    namesake of another kind, the object's own value is looked up. Most objects name a key once,
+    which takes no copy of the text to see.
     """
     some = _holds(raw, key, opener)
+    twice = F.octet_length(F.substring_index(raw, f'"{key}":', 2)) < F.octet_length(raw)
     rest = F.replace(raw, F.lit(f'"{key}":{opener}'), F.lit(""))
     value = F.try_variant_get(F.try_parse_json(raw), f"$.{key}", "variant")
     own = F.startswith(F.schema_of_variant(value), F.lit(KINDS[opener]))
-    return F.when(some & _holds(rest, key, ""), F.coalesce(own, some)).otherwise(some)
+    return F.when(some & twice & _holds(rest, key, ""), F.coalesce(own, some)).otherwise(some)
 
 
 def string_field(raw: Column, parsed: Column, key: str) -> Column:

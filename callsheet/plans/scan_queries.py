@@ -209,7 +209,6 @@ summed AS (
     || ' (heuristic — review before publishing).' AS summary
   FROM counted)
 """
-INTRO = [*scan.REPORT_INTRO]
 FIXED_SQL = ", ".join(
     ["'# Security scan — ' || capture_id || '.har'", "''"]
     + [f"'{line}'" for line in scan.REPORT_INTRO]

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-CAPTURES = "capture_id string, source_har string, har_text string"
-ENTRIES = "capture_id string, entry_index bigint, entry_json string"
 HIT = "struct<step:int,sub:int,pos:int,key:string,value:string>"
 
 RAW_RESPONSE = T.StructType(
