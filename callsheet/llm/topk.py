@@ -21,14 +21,15 @@ QUERIES_PER_BLOCK = 1_024
 def quantised(vector: Column) -> Column:
     """floor(SCALE * x) of each component; null for vectors that take no part.
 
-    Those are null or empty ones, ones with a null or non-finite component, and ones whose squared
-    length reaches 2**62, whose scores a long might not hold.
+    Those are null or empty ones, and ones with a null or non-finite component. A vector whose
+    squared length reaches 2**62, so that a long might not hold its scores, raises an error.
     """
     wide = F.transform(vector.cast("array<double>"), lambda x: F.floor(x * F.lit(float(SCALE)).cast("double")))
     real = vector.cast("array<double>")
-    fine = F.forall(real, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(2.0**31)))
+    fine = F.forall(real, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     squares = F.aggregate(real, F.lit(0.0), lambda a, x: a + x * x * F.lit(float(SCALE) ** 2))
-    return F.when((F.size(vector) > 0) & F.coalesce(fine, F.lit(False)) & (squares < 2.0**62), wide)
+    too_large = F.raise_error(F.lit("a vector is too large for scores in a long")).cast("array<bigint>")
+    return F.when((F.size(vector) > 0) & F.coalesce(fine, F.lit(False)), F.when(squares < 2.0**62, wide).otherwise(too_large))
 
 
 class Index(NamedTuple):

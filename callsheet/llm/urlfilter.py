@@ -15,9 +15,18 @@ def plain_host(host: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host without user, port and final dots; empty text if there is none."""
-    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1)
-    return plain_host(host)
+    """Lower-case host without user, port and final dots; empty text if there is none.
+
+    The user ends at the last ``@`` before the path. An IPv6 address keeps its brackets.
+    """
+    place = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    own = F.regexp_replace(place, "^.*@", "")
+    return plain_host(F.regexp_extract(own, r"^(\[[^\]]*\]|[^:]*)", 1))
+
+
+def is_address(host: Column) -> Column:
+    """IPv4 and IPv6 addresses, which are no names with domains above them."""
+    return F.startswith(host, F.lit("[")) | F.rlike(host, F.lit(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"))
 
 
 def path_of(url: Column) -> Column:
@@ -27,10 +36,12 @@ def path_of(url: Column) -> Column:
 def lookup_keys(url: Column) -> Column:
     """Keys that entries for this URL can have.
 
-    The host and the domains above it down to two labels (``a.b.com``, ``b.com``), and the host with
-    each beginning of its path that ends at a slash or at the path's end.
+    The host and the domains above it down to two labels (``a.b.com``, ``b.com``), of an address
+    itself alone, and the host with each beginning of its path that ends at a slash or at the
+    path's end.
     """
-    host, labels = host_of(url), F.split(host_of(url), r"\.")
+    host = host_of(url)
+    labels = F.when(is_address(host), F.array(host)).otherwise(F.split(host, r"\."))
     n = F.size(labels)
     domains = F.transform(
         F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
@@ -65,14 +76,15 @@ def intervals(entries: DataFrame) -> DataFrame:
 def matches(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Each list entry active for a capture at its time: ``capture_id, list, key, since``.
 
-    Captures meet intervals on equal keys; the time is part of the join's condition, so that at
-    most one interval of a list and key leaves the join. A hot host is split by the adaptive
-    execution, as the join is a plain equi-join.
+    Keys and times meet the intervals once each, however many captures share them; the time is part
+    of the join's condition, so that at most one interval of a list and key leaves the join. Captures
+    then find their key and time, so that a hot host is spread over its times.
     """
     keyed = captures.select("capture_id", "fetched", F.explode(lookup_keys(F.col("url"))).alias("key"))
-    spans = intervals(entries)
-    active = (keyed["key"] == spans["key"]) & (keyed["fetched"] >= spans["since"]) & (keyed["fetched"] < spans["until"])
-    return keyed.join(spans, active).select("capture_id", "list", spans["key"], "since")
+    asked, spans = keyed.select("key", "fetched").distinct(), intervals(entries)
+    active = (asked["key"] == spans["key"]) & (asked["fetched"] >= spans["since"]) & (asked["fetched"] < spans["until"])
+    valid = asked.join(spans, active).select(asked["key"], "fetched", "list", "since")
+    return keyed.join(valid, ["key", "fetched"]).select("capture_id", "list", "key", "since")
 
 
 def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
