@@ -168,3 +168,12 @@ def test_each_entry_is_parsed_once(entries):
     filters = [line for line in plan.splitlines() if "Filter " in line]
     assert not any("url string" in line or "StructField(url" in line for line in filters)
     assert read_entries(entries({"c": shop()})).count() == 6
+
+
+def test_a_small_file_of_many_rows_is_many_tasks(spark, tmp_path, monkeypatch):
+    from callsheet.functions import slices
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(slices, "ROWS_PER_TASK", 100)
+    rows = slices.spread(spark.read.parquet(str(tmp_path / "t")))
+    assert rows.rdd.getNumPartitions() == 10 and rows.count() == 1000
