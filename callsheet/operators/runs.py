@@ -123,12 +123,17 @@ def call_one(complete: Complete, name: str, model: str, prompt: str) -> tuple[st
         return f"{type(exc).__name__}: {exc}", blank | {"text": "", "latency_ms": 0.0}
 
 
+#: Jobs whose prompts and answers a task holds beside the batch that Spark gives it.
+AT_ONCE = 64
+
+
 def _caller(build: Build, limits: dict[str, int], ledger: Ledger | None):
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready: dict[tuple[str, str], Complete] = {}
-        for batch in batches:
+        few = (batch.iloc[i : i + AT_ONCE] for batch in batches for i in range(0, len(batch), AT_ONCE))
+        for rows in few:
             out = []
-            for row in batch.to_dict("records"):
+            for row in rows.to_dict("records"):
                 prompt, cells = row.pop("prompt"), row.pop("cells")
                 for cell in cells:
                     name, model = cell["provider"], cell["model"]

@@ -191,3 +191,14 @@ def test_outline(spark):
     rows = outline.outline(df, "t", "id").orderBy("position").collect()
     assert [(r.position, r.level, r.title) for r in rows] == [(0, 1, "One"), (1, 2, "Two words ")]
     assert df.select(outline.missing_sections(F.col("t"), ["One", "Two words", "open fence"])).first()[0] == ["open fence"]
+
+
+def test_answers_leave_a_task_a_few_at_a_time():
+    import pandas as pd
+
+    from callsheet.operators import runs
+
+    cells = [{"seq": 0, "total": 1, "provider": "p", "model": "m"}]
+    batch = pd.DataFrame([{"run_id": f"r{i}", "mode": "m", "version": "v", "prompt_chars": 1, "prompt": str(i), "cells": cells} for i in range(300)])
+    given = list(runs._caller(lambda name, model: lambda prompt: {"text": prompt}, {}, None)(iter([batch, batch[:0]])))
+    assert max(map(len, given)) <= 64 and [r["text"] for rows in given for r in rows.response] == [str(i) for i in range(300)]
