@@ -62,13 +62,35 @@ READ, ROWS = 1 << 16, 4096
 # --- encoding ------------------------------------------------------------------------------------
 
 
-class Pieces(dict):
+class Kept(dict):
+    """What ``work`` gives for a text, kept in two generations of at most ``KEPT_PIECES``."""
+
+    def __init__(self, work: Callable[[str], bytes]):
+        self.work = work
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.work(text)
+        if len(text) <= KEPT_LENGTH:
+            if len(self) >= KEPT_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[text] = ids
+        return ids
+
+
+class Pieces(Kept):
     """Ids of pieces between white space, as bytes, worked out by the library when first seen.
 
-    A plain word goes straight to the library's merges, other pieces through all of its steps.
+    A plain word goes straight to the library's merges, other pieces through all of its steps. Words
+    are kept in small letters as well, since most new pieces are a known word with another case or
+    other marks behind it.
     """
 
     def __init__(self, name: str):
+        super().__init__(self.piece)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,29 +99,21 @@ class Pieces(dict):
         self.library.no_padding()
         self.merges = self.library.model
         self.symbols = dict(enumerate(byte_symbols()))
-        self.older: dict[str, bytes] = {}
+        self.words = Kept(self.word)
 
-    def word(self, letters: str) -> bytes:
-        symbols = letters.lower()
+    def word(self, symbols: str) -> bytes:
+        """Ids of a plain word in small letters."""
         if not symbols.isascii():
             symbols = symbols.encode().decode("latin-1").translate(self.symbols)
         return array("I", [token.id for token in self.merges.tokenize(symbols)]).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            plain = PLAIN.fullmatch(piece)
-            if plain:
-                letters, marks = plain.groups()
-                ids = self.word(letters) + self[marks] if marks else self.word(letters)
-            else:
-                ids = array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
-        if len(piece) <= KEPT_LENGTH:
-            if len(self) >= KEPT_PIECES:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+    def piece(self, piece: str) -> bytes:
+        plain = PLAIN.fullmatch(piece)
+        if not plain:
+            return array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+        letters, marks = plain.groups()
+        ids = self.words[letters.lower()]
+        return ids + self[marks] if marks else ids
 
 
 @lru_cache(maxsize=2)
@@ -320,6 +334,20 @@ class TokenFile:
             start, segment = end, segment + 1
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint32)
 
+    def sums(self, starts: np.ndarray) -> list[int]:
+        """CRC-32 of the ids from each of ``starts`` to the next one, as little-endian 32-bit integers.
+
+        Consecutive documents are read together while they have no more ids than a segment.
+        """
+        out, i, n = [], 0, len(starts) - 1
+        while i < n:
+            j = max(i + 1, min(n, int(np.searchsorted(starts, starts[i] + SEGMENT, side="right")) - 1))
+            data = memoryview(self.between(int(starts[i]), int(starts[j]), scan=True).astype("<u4").tobytes())
+            ends = (4 * (starts[i : j + 1] - starts[i])).tolist()
+            out += [zlib.crc32(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            i = j
+        return out
+
 
 def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int | None = END) -> list[Part]:
     """Encode all texts and write their ids below ``folder`` in ascending order of ``doc_id``.
@@ -372,7 +400,7 @@ def read(spark, folder: str, parts: Iterable[Part]) -> DataFrame:
                 file = TokenFile(system, f"{path}/{work['name']}")
                 for at in range(work["first"], work["stop"], ROWS):
                     ids, nulls, starts = file.index(at, min(at + ROWS, work["stop"]))
-                    sums = [zlib.crc32(file.between(a, b, scan=True).astype("<u4").tobytes()) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                    sums = file.sums(starts)
                     columns = [pa.array(ids, mask=nulls), pa.array(starts[:-1] + work["base"]), pa.array(np.diff(starts)), pa.array(sums, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
