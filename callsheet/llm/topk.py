@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from callsheet.functions.lineage import cut_lineage
 
 SCALE = 1024
-#: Candidates in one index and queries that meet it in one task.
+#: Candidates in one index and queries that meet it in one task. Every vector is sent once for each
+#: block of queries, every query once for each block of vectors: blocks of one size send the least.
 ROWS_PER_BLOCK = 16_384
-QUERIES_PER_BLOCK = 1_024
+QUERIES_PER_BLOCK = 16_384
 
 
 def quantised(vector: Column) -> Column:
@@ -45,7 +46,8 @@ def packed(bits: np.ndarray) -> np.ndarray:
     """Bitmaps of 64-bit words along the last axis."""
     pad = -bits.shape[-1] % 64
     bits = np.concatenate([bits, np.zeros((*bits.shape[:-1], pad), bool)], axis=-1)
-    return np.packbits(bits, axis=-1, bitorder="little").view(np.uint64)
+    # a transposed array with one bit of padding stays transposed, and its words could not be viewed
+    return np.packbits(np.ascontiguousarray(bits), axis=-1, bitorder="little").view(np.uint64)
 
 
 def build(ids: np.ndarray, vectors: np.ndarray) -> Index:
@@ -156,13 +158,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     cell = ["dim", "row_block", "query_block"]
 
     def meet(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+        asked, found, scored = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(candidates) and len(queries):
             index = build(candidates["vec_id"].to_numpy(), np.stack(candidates["v"].to_numpy()).astype(np.int64))
-            for own, vector in zip(queries["asked_id"], queries["asked_v"], strict=True):
+            for vector, own in zip(queries["asked_v"], queries["asked_id"], strict=True):
                 ids, scores = select(index, np.asarray(vector, np.int64), own, k)
-                parts.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+                asked += [own] * len(ids)
+                found.append(ids)
+                scored.append(scores)
+        return pd.DataFrame({"query_id": np.array(asked, np.int64), "vec_id": np.concatenate(found), "score": np.concatenate(scored)})
 
     shape = "query_id bigint, vec_id bigint, score bigint"
     there = there.select(*cell, "vec_id", "v")

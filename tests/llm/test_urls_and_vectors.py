@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,16 @@ def test_vectors_beyond_a_long_fail_clearly(spark):
         with pytest.raises(Exception, match="too large for scores"):
             topk.search(make(v), F.lit(True)).collect()
     assert topk.search(make([float("inf"), 1.0]), F.lit(True)).collect() == []
+
+
+def test_one_bit_of_padding_is_packed_and_searched(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-900, 900, (127, 5))
+    index = topk.build(np.arange(127), vectors)  # one bit of padding
+    for own in (0, 77):
+        ids, scores = topk.select(index, vectors[own], own, 4)
+        want = sorted((-int(vectors[own] @ vectors[i]), i) for i in range(127) if i != own)[:4]
+        assert sorted(zip((-scores).tolist(), ids.tolist(), strict=True)) == want
+    table = spark.createDataFrame([(i, [float(x) / 1024 for x in v]) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): r.score for r in topk.search(table, F.col("vec_id") == 77, 4).collect()}
+    assert [got[77, r] for r in range(1, 5)] == [-s for s, _ in want]
