@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from callsheet.functions.lineage import CLEANUP, cut_lineage, discard, shared_folder
 from callsheet.llm import jaccard, suffix
 from callsheet.llm.graph import components
 
@@ -148,3 +151,35 @@ def test_very_long_texts_keep_their_cuts_across_segments(table):
     rows = [(1, body), (2, "start " + body[at : at + 1400] + " end")]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix.digest(table(rows)).collect()}
     assert got == {1: (len(body), 1400, 1), 2: (1410, 1400, 1)}
+
+
+def test_unwanted_texts_are_not_shuffled(spark):
+    keyed = spark.range(20_000).select(F.xxhash64("id").alias("key_a"), F.xxhash64("id", F.lit(1)).alias("key_b"), F.col("id").alias("table"))
+    wanted = keyed.where("table % 100 = 0").select("key_a", "key_b")
+    left = {r.table for r in jaccard.likely(keyed, wanted).collect()}
+    assert left >= set(range(0, 20_000, 100)) and len(left) < 400
+    assert {r.table for r in jaccard.likely(keyed, wanted, how="left_anti").collect()} == set(range(20_000)) - left
+    assert jaccard.likely(keyed, wanted.limit(0)).count() == 0
+
+
+def test_tables_of_finished_steps_are_dropped(spark):
+    tables = lambda: {f.parent for f in Path(shared_folder(spark)).glob("*/_SUCCESS")}
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[: 60 - i % 7], f"x{i}"])) for i in range(40)] + [(3, None), (None, "alone"), (50, "alone"), (50, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    there = tables()
+    kept = jaccard.first_of_each(docs)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["0", "3", "50"]
+    assert len(tables() - there) <= 5  # measured rows, links and their components, labels, doubtful keys
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    there = files()
+    table = cut_lineage(spark.range(5_000).groupBy((F.col("id") % 50).alias("k")).count())
+    assert not files() - there
+    assert table.count() == 50
+    assert spark.conf.get(CLEANUP) == "false"
+    discard(table)
+    assert not Path(table.lineage_path).exists()
