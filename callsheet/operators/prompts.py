@@ -49,6 +49,10 @@ def check_templates(templates: DataFrame, modes: Sequence[str], version: str) ->
             )
 
 
+def _literal(text: str) -> str:
+    return f"\\Q{text}\\E"
+
+
 def render(artifacts: DataFrame, templates: DataFrame, modes: Sequence[str], version: str) -> DataFrame:
     """Prompts ``(capture_id, mode, version, mode_pos, prompt_chars, prompt)``.
 
@@ -71,6 +75,25 @@ def render(artifacts: DataFrame, templates: DataFrame, modes: Sequence[str], ver
     )
 
 
+def render_pieces(parts: DataFrame, templates: DataFrame, modes: Sequence[str], version: str) -> DataFrame:
+    """The prompts of ``render`` as ordered pieces ``(capture_id, mode, version, mode_pos, piece, part, text)``.
+
+    ``parts`` are artifact parts. A template is cut at its placeholders; its pieces and the artifact's
+    parts alternate, so that prompts may be larger than any string. A mode and version has one template.
+    """
+    check_templates(templates, modes, version)
+    known = size_checked(templates.select("mode", "version", F.split("body", _literal(ARTIFACT_PLACEHOLDER), -1).alias("_own")), "_own")
+    wanted = parts.select("capture_id", "part", "text", F.inline(mode_rows(modes, version))).join(known, ["mode", "version"])
+    columns = ["capture_id", "mode", "version", "mode_pos"]
+    # of n pieces, the artifact follows each but the last
+    gaps = F.explode(F.sequence(F.lit(2), 2 * (F.size("_own") - 1), F.lit(2)))
+    inside = wanted.select(*columns, gaps.alias("piece"), "part", "text")
+    captures = parts.select("capture_id").distinct().select("capture_id", F.inline(mode_rows(modes, version))).join(known, ["mode", "version"])
+    around = captures.select(*columns, F.posexplode("_own").alias("piece", "text"))
+    fixed = around.select(*columns, (2 * F.col("piece") + 1).alias("piece"), F.lit(None).cast(parts.schema["part"].dataType).alias("part"), "text")
+    return inside.unionByName(fixed)
+
+
 def render_parts(parts: DataFrame, templates: DataFrame, modes: Sequence[str], version: str, max_chars: int | None = None) -> DataFrame:
     """Prompts straight from artifact parts; see ``render``."""
     return render(assemble(parts, max_chars), templates, modes, version)

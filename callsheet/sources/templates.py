@@ -30,7 +30,7 @@ def unknown_modes(requested: DataFrame, templates: DataFrame) -> DataFrame:
     )
 
 
-def size_checked(templates: DataFrame, max_bytes: int = MAX_TEMPLATE_BYTES) -> DataFrame:
+def size_checked(templates: DataFrame, body: str = "body", max_bytes: int = MAX_TEMPLATE_BYTES) -> DataFrame:
     """``templates`` marked for broadcast if they are measured to fit ``max_bytes``, else as they are."""
-    size = templates.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    size = templates.agg(F.sum(F.octet_length(F.concat_ws("", body)))).first()[0] or 0
     return F.broadcast(templates) if size <= max_bytes else templates

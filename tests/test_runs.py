@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import tests.test_runs as this
-from callsheet.operators import matrix, outline, prompts, runs
+from callsheet.operators import clean, matrix, outline, prompts, runs
 from callsheet.rules import DRY_RUN_TEXT, Provider
 from callsheet.sources.runs import export_cells, load_runs, store_runs
 from callsheet.sources.templates import available_modes, read_templates, unknown_modes
@@ -66,6 +67,18 @@ def test_render_is_verbatim(artifacts, templates):
     assert all(len(p) == n for p, n in got.values())
 
 
+def test_prompts_in_pieces_are_the_same_prompts(spark, templates):
+    rows = [("a", 1, "{{artifact}} é"), ("a", 0, "x $1 "), ("a", 2**62, None), ("b", -1, "y"), (None, 0, "z")]
+    parts = spark.createDataFrame(rows, "capture_id string, part long, text string").repartition(3)
+    modes = ["structured", "minimal"]
+    want = {(r.capture_id, r.mode, r.mode_pos): (r.prompt_chars, hashlib.md5(r.prompt.encode()).hexdigest()) for r in prompts.render_parts(parts, templates, modes, "v5").collect()}
+    pieces = prompts.render_pieces(parts, templates, modes, "v5")
+    whole = clean.assemble(pieces, by=("capture_id", "mode", "version", "mode_pos"), digest=True)
+    assert {(r.capture_id, r.mode, r.mode_pos): (r.chars, r.digest) for r in whole.collect()} == want and len(want) == 6
+    texts = {r.capture_id: (r.chars, hashlib.md5(r.text.encode()).hexdigest()) for r in clean.assemble(parts).collect()}
+    assert {r.capture_id: (r.chars, r.digest) for r in clean.assemble(parts, digest=True).collect()} == texts
+
+
 @pytest.mark.parametrize(("mode", "version", "message"), [("gone", "v5", "Available modes: bare, minimal"), ("minimal", "v9", "version"), ("bare", "v5", "placeholder")])
 def test_bad_templates_raise(artifacts, templates, mode, version, message):
     with pytest.raises(ValueError, match=message):
